@@ -2,11 +2,34 @@
 
 from __future__ import annotations
 
+from graphloom.llm.lines import MIN_CHARS, MIN_DOCUMENTS
 from graphloom.llm.mixing import FILLS, MOST_COPIES, WEIGHTS
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def line_ctes(docs: str) -> str:
+    """CTEs over ``docs`` (doc_id, text) up to ``line_rows``: its rows with n (row number), n_lines, n_dropped and kept."""
+    strip = r"'^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$'"
+    return f"""
+line_docs AS (SELECT *, row_number() OVER () AS n, coalesce(doc_id, -9223372036854775808) AS id FROM {docs}),
+line_split AS (SELECT n, id, string_split(coalesce(text, ''), chr(10)) AS lines FROM line_docs),
+line_each AS (SELECT n, id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM line_split),
+line_keys AS (
+  SELECT n, id, line, pos, translate(regexp_replace(line, {strip}, '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line_each),
+line_found AS (
+  SELECT key, max(id) AS keeper FROM (SELECT DISTINCT n, id, key FROM line_keys WHERE length(key) >= {MIN_CHARS})
+  GROUP BY key HAVING count(*) >= {MIN_DOCUMENTS}),
+line_marks AS (SELECT k.*, f.key IS NOT NULL AND f.keeper <> k.id AS gone FROM line_keys k LEFT JOIN line_found f ON f.key = k.key),
+line_kept AS (
+  SELECT n, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM line_marks GROUP BY n),
+line_rows AS (SELECT d.*, k.n_lines, k.n_dropped, k.kept FROM line_docs d JOIN line_kept k USING (n))""".lstrip()
+
+
+LINES_SQL = f"WITH {line_ctes('documents')}\nSELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM line_rows"
+
+
 def mix_ctes(docs: str) -> str:
     """CTEs over the relation ``docs`` (doc_id, text, source) up to ``mix_rows``: its rows with n (row number), size, source_size, target and copies."""
     weights = f"[{', '.join(map(str, WEIGHTS))}]"

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm import mixing
+from graphloom.llm import lines, mixing, packing
 from graphloom.llm.common import table
-from graphloom.llm.oracles import MIX_SQL
+from graphloom.llm.oracles import LINES_SQL, MIX_SQL
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that many documents share, dropped from all but one: doc_id, n_lines, n_dropped, kept_sha256."""
+    rows = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,13 +23,22 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    rows = packing.pack(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_line_dedup": op3_line_dedup,
         "op9_mix_sources": op9_mix_sources,
+        "op10_pack": op10_pack,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_line_dedup": LINES_SQL,
         "op9_mix_sources": MIX_SQL,
     }
