@@ -31,7 +31,7 @@ WEIGHTS = (5, 2, 1)
 #: A source's target is at most so many times its size.
 MOST_COPIES = 3
 #: Documents in one range of the ranking, about.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 #: The ranking is followed once, and then again among documents that fit in what is left.
 FILLS = 4
 WORD = r"[^\x20\x09-\x0D]+"
