@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from graphloom.plans.lineage import materialize
+
+__all__ = ["NULL_ID", "id_or_least", "materialize", "null_id_back", "table"]
+
 #: Stands for a null id where ids are compared: smaller than any other.
 NULL_ID = -(2**63)
 
@@ -15,19 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the reliable checkpoint folder, lineage cut.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where a session
-    has none (local tests) a temporary one is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        set_to = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(set_to or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
-    return df.checkpoint()
-
-
 def id_or_least(name: str) -> Column:
     """An id column as long, null as the least value."""
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm import lines, mixing, packing
-from graphloom.llm.common import table
+from graphloom.llm import lines, mixing, packing, simhash
+from graphloom.llm.common import null_id_back, table
 from graphloom.llm.oracles import LINES_SQL, MIX_SQL
 
 
@@ -17,6 +17,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents: doc_id, fingerprint, component_id."""
+    rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return rows.select(null_id_back("key").alias("doc_id"), hexed.alias("fingerprint"), null_id_back("component").alias("component_id"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all documents takes of each: doc_id, size, source_size, target, taken."""
     rows = mixing.mixed_sizes(table(spark, sf_dir, "documents"))
@@ -32,6 +39,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_line_dedup": op3_line_dedup,
+        "op8_simhash": op8_simhash,
         "op9_mix_sources": op9_mix_sources,
         "op10_pack": op10_pack,
     }
