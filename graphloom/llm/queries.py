@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from graphloom.llm import lines, mixing, packing, simhash
+from graphloom.llm import lines, mixing, packing, simhash, toxicity
 from graphloom.llm.common import null_id_back, table
 from graphloom.llm.oracles import LINES_SQL, MIX_SQL
 
@@ -17,6 +17,13 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents: doc_id, held_out, score, predicted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"))).select("doc.doc_id", "score")
+    return rows.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: doc_id, fingerprint, component_id."""
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -39,6 +46,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_line_dedup": op3_line_dedup,
+        "op7_toxicity": op7_toxicity,
         "op8_simhash": op8_simhash,
         "op9_mix_sources": op9_mix_sources,
         "op10_pack": op10_pack,
