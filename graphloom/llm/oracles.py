@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from graphloom.llm.chat import CONTROL, END, LEARNED_ROLE, TEXT, TURN
 from graphloom.llm.lines import MIN_CHARS, MIN_DOCUMENTS
 from graphloom.llm.mixing import FILLS, MOST_COPIES, WEIGHTS
 
@@ -70,3 +71,15 @@ mix_rows AS (SELECT l.* EXCLUDE (room, whole), l.whole + coalesce(m.more, 0) AS
 
 
 MIX_SQL = f"WITH {mix_ctes('documents')}\nSELECT doc_id, size, source_size, target, size * copies AS taken FROM mix_rows"
+
+_ESCAPED = r"regexp_replace({}, '([<\[])(\\*)(" + CONTROL + r")', '\1\\\2\3', 'g')"
+CHAT_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+pieces AS (SELECT *, {len(TURN) + len(TEXT) + len(END)} + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}) AS chars FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = '{LEARNED_ROLE}'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = '{LEARNED_ROLE}'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM pieces GROUP BY conv_id"""

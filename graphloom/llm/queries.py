@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from graphloom.llm import lines, mixing, packing, simhash, toxicity
+from graphloom.llm import chat, lines, mixing, packing, pii, secrets, simhash, toxicity
 from graphloom.llm.common import null_id_back, table
-from graphloom.llm.oracles import LINES_SQL, MIX_SQL
+from graphloom.llm.oracles import CHAT_SQL, LINES_SQL, MIX_SQL
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,39 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, rebuilt from event logs, rendered and read back: conv_id, n_turns and digests."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]").alias("text")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
+    return chat.digests(chat.render(chat.messages(chat.as_events(turns.unionByName(more)))))
+
+
+def _joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """doc_id, a count of each base kind, base_sha256 and spans."""
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in kinds]
+    base = F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    return found.select("doc.doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    return _span_digest(secrets.find(table(spark, sf_dir, "documents").select("doc_id", "text")), secrets.KINDS[:3])
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    return _span_digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")), pii.KINDS)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents: doc_id, held_out, score, predicted."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -46,6 +79,9 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_line_dedup": op3_line_dedup,
+        "op4_chat": op4_chat,
+        "op5_secrets": op5_secrets,
+        "op6_pii": op6_pii,
         "op7_toxicity": op7_toxicity,
         "op8_simhash": op8_simhash,
         "op9_mix_sources": op9_mix_sources,
@@ -56,5 +92,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_line_dedup": LINES_SQL,
+        "op4_chat": CHAT_SQL,
         "op9_mix_sources": MIX_SQL,
     }
