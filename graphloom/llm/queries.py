@@ -6,11 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from graphloom.llm import chat, lines, mixing, packing, pii, secrets, simhash, toxicity
+from graphloom.llm import ann, chat, lines, metric_join, mixing, packing, pii, secrets, simhash, toxicity
 from graphloom.llm.common import null_id_back, table
 from graphloom.llm.oracles import CHAT_SQL, LINES_SQL, MIX_SQL
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20: query_id, rank, vec_id, score."""
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "key % 20 = 0")
+
+
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all vectors: vec_id, n_links, component_id, kept."""
+    rows = metric_join.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return rows.select(null_id_back("key").alias("vec_id"), "n_links", null_id_back("component").alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that many documents share, dropped from all but one: doc_id, n_lines, n_dropped, kept_sha256."""
     rows = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -78,6 +89,8 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_neighbours": op1_neighbours,
+        "op2_near_vectors": op2_near_vectors,
         "op3_line_dedup": op3_line_dedup,
         "op4_chat": op4_chat,
         "op5_secrets": op5_secrets,
