@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the reliable checkpoint folder, lineage cut.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The reliable folder that driver and executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where a session
-    has none (local tests) a temporary one is set.
+    It is the session's ``spark.checkpoint.dir``; only where a session has
+    none (local tests) a temporary one is set.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        set_to = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        set_to = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(set_to or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the checkpoint folder, lineage cut."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
