@@ -323,16 +323,21 @@ def _fitted(scorer: Scorer, rows: DataFrame) -> Scorer:
     return scorer
 
 
-def score(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
-    """``doc`` (a struct of all columns of ``docs``) and ``score``, from 0 to 1; null and empty texts have that of no feature."""
+def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """``doc`` (a struct of all other columns) and ``score``, from 0 to 1, and ``text`` if wanted.
+
+    Null and empty texts have the score of no feature. Rows that repeat have
+    equal scores. An empty table gives no rows.
+    """
     held = docs.sparkSession.sparkContext.broadcast(scorer)  # FEATURES weights and 28 ** 3 numbers, whatever the corpus
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for batch in batches:
             scores = [own.score(x) for x in own.signs(_lower(batch.column("text")))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(scores, pa.float64())], ["doc", "score"])
+            text = {"text": batch.column("text")} if keep_text else {}
+            yield pa.RecordBatch.from_pydict({"doc": batch.column("doc"), "score": pa.array(scores, pa.float64()), **text})
 
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = given.schema["doc"].dataType.simpleString()
-    return given.mapInArrow(rows, f"doc {kind}, score double")
+    return given.mapInArrow(rows, f"doc {kind}, score double" + ", text string" * keep_text)
