@@ -79,7 +79,7 @@ def phrases(text: Column, most_words: int = 12) -> Column:
     clean = strip(F.regexp_replace(text, r"\p{Punct}", ""))
     words = F.filter(F.split(clean, r"\s+"), lambda w: w != "")
     n = F.size(words)
-    masks = F.sequence(F.lit(1), (F.shiftleft(F.lit(1), F.least(n, F.lit(most_words))) - 1).cast("int"))
+    masks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.least(n, F.lit(most_words))) - 1)
     chosen = F.transform(masks, lambda m: F.array_join(F.filter(words, lambda w, i: m.bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) != 0), " "))
     starts = F.sequence(F.lit(1), n)
     runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(i, F.least(n, i + most_words - 1)), lambda j: F.array_join(F.slice(words, i, j - i + 1), " "))))
