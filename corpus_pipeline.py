@@ -41,8 +41,9 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document of the smallest id of each group of near copies; of rows that share that id, one."""
     rows = simhash.near_duplicates(docs.select("doc_id", "text"))
     kept = rows.where(F.col("key") == F.col("component")).select("key").distinct()
-    own = docs.withColumn("key", id_or_least("doc_id")).join(kept, "key", "left_semi")
-    return own.dropDuplicates(["key"]).select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    own = docs.select(whole, id_or_least("doc_id").alias("key")).join(kept, "key", "left_semi")
+    return own.dropDuplicates(["key"]).select("doc.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from graphloom.llm.common import NULL_ID, id_or_least, materialize
+from graphloom.llm.common import NULL_ID, id_or_least, materialize, texts_to_python
 from graphloom.llm.mph import Shard
 
 MIN_CHARS = 20
@@ -67,7 +67,7 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_do
             h1, h2 = _halves(digests)
             yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids, pa.int64())], ["h1", "h2", "key"])
 
-    rows = docs.select(id_or_least(id_col).alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(hashes, "h1 long, h2 long, key long")
+    rows = texts_to_python(docs).select(id_or_least(id_col).alias("key"), F.col(text_col).cast("string").alias("text")).mapInArrow(hashes, "h1 long, h2 long, key long")
     return rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_documents"), F.max("key").alias("keeper")).where(F.col("n_documents") >= min_documents)
 
 
@@ -108,7 +108,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives no rows.
     """
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    rows = docs.select(F.struct(*others).alias("doc"), id_or_least(id_col).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"), F.lit(b"").alias("marks"))
+    rows = texts_to_python(docs).select(F.struct(*others).alias("doc"), id_or_least(id_col).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"), F.lit(b"").alias("marks"))
     shards = index(repeated(docs, id_col, text_col, min_chars, min_documents))
     rounds = _rounds(shards, max_index_bytes) or [[]]
     for nth, own in enumerate(rounds):

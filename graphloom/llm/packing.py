@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from graphloom.llm.common import texts_to_python
+
 WINDOW = 2048
 UNIT = 32
 DEPTH = 3
@@ -213,6 +215,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
         if ids:
             yield flush()
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(
+    return texts_to_python(docs).select(F.col(f"`{id_col}`").cast("long").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(
         rows, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     )

@@ -24,7 +24,9 @@ from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
+
+from graphloom.llm.common import SPANS, schema_of, with_text
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = tuple(f"crf_{k}" for k in KINDS)
@@ -317,5 +319,5 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in sorted(own, key=lambda s: (order[s[0]], s[1], s[2]))])
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(spans, kind)], ["doc", "spans"])
 
-    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return given.mapInArrow(rows, f"doc {given.schema['doc'].dataType.simpleString()}, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    given = with_text(docs, text_col)
+    return given.mapInArrow(rows, schema_of(given, "doc", spans=SPANS))

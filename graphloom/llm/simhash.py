@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from graphloom.llm.common import id_or_least, materialize
+from graphloom.llm.common import id_or_least, materialize, texts_to_python
 from graphloom.operators.components import star_forest
 
 BITS = 64
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t) for t in batch.column("text").cast(pa.binary()).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(fps.view(np.int64))], ["key", "fp"])
 
-    return docs.select(id_or_least(id_col).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(rows, "key long, fp long")
+    return texts_to_python(docs).select(id_or_least(id_col).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(rows, "key long, fp long")
 
 
 def group_bits(sample: np.ndarray, m: int) -> list[list[int]]:

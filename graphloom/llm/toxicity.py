@@ -28,9 +28,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from graphloom.llm.common import id_or_least, materialize
+from graphloom.llm.common import materialize, schema_of, texts_to_python, with_text
 
 #: Labelled documents that the features are learned from, at most, by label (0, 1).
 FIT_ROWS = (6000, 3000)
@@ -72,7 +72,7 @@ def trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     out = np.zeros(_A**3)
     # as many rows as there are trigrams of 28 codes, however many documents
-    for row in docs.select(F.col(text_col).cast("string")).mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+    for row in texts_to_python(docs).select(F.col(text_col).cast("string")).mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         out[row["gram"]] = row["n"]
     return out.reshape(_A, _A, _A)
 
@@ -338,6 +338,6 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", keep_text: bo
             text = {"text": batch.column("text")} if keep_text else {}
             yield pa.RecordBatch.from_pydict({"doc": batch.column("doc"), "score": pa.array(scores, pa.float64()), **text})
 
-    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    kind = given.schema["doc"].dataType.simpleString()
-    return given.mapInArrow(rows, f"doc {kind}, score double" + ", text string" * keep_text)
+    given = with_text(docs, text_col)
+    text = {"text": T.StringType()} if keep_text else {}
+    return given.mapInArrow(rows, schema_of(given, "doc", score=T.DoubleType(), **text))
