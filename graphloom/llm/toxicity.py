@@ -45,7 +45,9 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 #: Characters that may stand between the letters of a word and mean nothing.
 SEPARATORS = " .-_*~'\""
 #: Log probability of a symbol or separator that means nothing, and of a substitution.
-DROPPED, SUBSTITUTED = math.log(0.004), math.log(0.9)
+DROPPED, SUBSTITUTED = math.log(1e-4), math.log(0.9)
+#: Log probability that a letter that is there twice, or more often, is meant once.
+REPEATED = (math.log(0.1), math.log(0.3))
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _A = len(LETTERS) + 2  # 0: no letter; 27: a letter beyond ASCII
@@ -113,10 +115,10 @@ def lattice(stretch: str) -> list[list[tuple[str, float]]]:
             ways = [(c, 0.0)]
         else:
             ways = [("", 0.0 if c in SEPARATORS else DROPPED)]
-        if n >= 3:
-            out += [ways, ways + [("", math.log(0.3))]] if c in LEET or c.isalpha() else [ways]
+        if n == 1 or not (c in LEET or c.isalpha()):
+            out.append(ways)
         else:
-            out += [ways] * n
+            out += [ways, ways + [("", REPEATED[n > 2])]]
     return out
 
 
