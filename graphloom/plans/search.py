@@ -134,7 +134,8 @@ class GlobalSearch:
     def search(self, query: str) -> DataFrame:
         rows = self.graph.summaries.withColumn("prompt", prompts.global_context(F.lit(query), F.col("summary"), self.language))
         got = materialize(parsed(generate(rows, "prompt", "answer", self.model), "answer", INSIGHT, "insight"))
-        return ranked_insights(got.where("insight is not null").select(F.col("id").alias("pos"), "insight.*"))
+        valid = got.where("insight is not null and (insight.rating is null or insight.rating between 0 and 10)")
+        return ranked_insights(valid.select(F.col("id").alias("pos"), "insight.*"))
 
     def query(self, query: str) -> DataFrame:
         """One row: ``context, response``."""

@@ -184,6 +184,16 @@ def generate(rows: DataFrame, prompt: str, answer: str, model: Model, batch: int
     return rows.mapInPandas(call, schema)
 
 
+def statistics(rows: DataFrame, prompt: str, answer: str) -> DataFrame:
+    """One row: how many calls there were, how many succeeded and failed, and the words sent and received."""
+    def words(c: str):
+        return F.sum(F.size(F.filter(F.split(c, r"\s+"), lambda w: w != "")))
+
+    own = rows.where(F.col(prompt).isNotNull())
+    done = F.count(answer)
+    return own.agg(F.count(F.lit(1)).alias("requests"), done.alias("succeeded"), (F.count(F.lit(1)) - done).alias("failed"), F.coalesce(words(prompt), F.lit(0)).alias("words_sent"), F.coalesce(words(answer), F.lit(0)).alias("words_received"))
+
+
 def parsed(rows: DataFrame, answer: str, schema: T.DataType, into: str) -> DataFrame:
     """``rows`` with the answer read as JSON; null where it can't be."""
     return rows.withColumn(into, F.from_json(answer, schema))

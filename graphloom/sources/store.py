@@ -75,3 +75,18 @@ def write_gml(vertices: DataFrame, edges: DataFrame, path: str) -> None:
     links = ends.select(F.concat(F.lit("  edge [ source "), "s", F.lit(" target "), "t", F.lit(" weight "), "w", F.lit(" ]")).alias("value"), F.lit(2).alias("o"))
     frame = vertices.sparkSession.createDataFrame([("graph [", 0), ("]", 3)], "value string, o int")
     frame.unionByName(nodes).unionByName(links).repartitionByRange("o", "value").sortWithinPartitions("o", "value").select("value").write.mode("overwrite").text(path)
+
+
+def read_gml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``vertices`` (id, entity_name) and ``edges`` (subject_id, object_id, relation_strength) of lines that :func:`write_gml` wrote."""
+    def plain(c):
+        return F.regexp_replace(F.regexp_replace(c, "&quot;", '"'), "&amp;", "&")
+
+    def quoted(key: str):
+        return plain(F.regexp_extract("value", f' {key} "([^"]*)"', 1))
+
+    lines = spark.read.text(path)
+    nodes = lines.where(F.col("value").startswith("  node [")).select(quoted("label").alias("id"), quoted("entity_name").alias("entity_name"))
+    links = lines.where(F.col("value").startswith("  edge ["))
+    weight = F.regexp_extract("value", r" weight (\S+) \]$", 1).cast("double")
+    return nodes, links.select(quoted("source").alias("subject_id"), quoted("target").alias("object_id"), weight.alias("relation_strength"))

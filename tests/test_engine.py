@@ -15,8 +15,10 @@ from graphloom.operators import chunking, communities, extraction, graph, mergin
 from graphloom.operators.clustering import cluster_of
 from graphloom.operators.components import connected_components
 from graphloom.plans import build, search, triplets
-from graphloom.providers import HashEmbedder, RateGate, Retrying, RuleModel, embed, generate, truncate
-from graphloom.sources.store import GraphStore, write_gml
+from graphloom.providers import HashEmbedder, RateGate, Retrying, RuleModel, embed, generate, statistics, truncate
+from graphloom.plans.records import Records
+from graphloom.settings import Endpoint, working_folder
+from graphloom.sources.store import GraphStore, read_gml, write_gml
 from graphloom.sources.text_files import read_texts
 
 
@@ -176,6 +178,8 @@ def test_failed_calls_keep_their_rows(spark):
         return [p.upper() for p in ps]
 
     df = spark.createDataFrame([(1, "good"), (2, "bad"), (3, None)], "n int, p string")
+    counts = statistics(generate(df, "p", "a", model, batch=1), "p", "a").first()
+    assert (counts["requests"], counts["succeeded"], counts["failed"], counts["words_sent"]) == (2, 1, 1, 2)
     assert {r["n"]: r["a"] for r in generate(df, "p", "a", model, batch=1).collect()} == {1: "GOOD", 2: None, 3: None}
     assert [r["v"] is None for r in embed(df, "p", "v", HashEmbedder(8)).orderBy("n").collect()] == [False, False, True]
 
@@ -269,11 +273,54 @@ def test_build_and_search(spark, tmp_path):
     write_gml(g.vertices, g.edges, str(tmp_path / "gml"))
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "gml")).collect()]
     assert sum(x.startswith("  node") for x in lines) == g.vertices.count() and "graph [" in lines
+    nodes, links = read_gml(spark, str(tmp_path / "gml"))
+    assert sorted(r["id"] for r in nodes.collect()) == sorted(r["id"] for r in g.vertices.collect()) and links.count() == g.edges.count()
     out = triplets.refine(docs.withColumn("doc_id", F.lit("d")), store.load("entity_vectors"), store.load("relation_vectors"), g.vertices, g.edges, lambda ps: [json.dumps([{"subject": "Alice", "relation": "knows", "object": "Robert"}])] * len(ps), HashEmbedder(32))
     assert {(r["subject"], r["object"]) for r in out.collect()} == {("Alice", "Robert")}
     assert triplets.refine(docs.withColumn("doc_id", F.lit("d")), g.entity_vectors, g.entity_vectors, g.vertices, g.edges, None, HashEmbedder(32)).count() == 0
 
 
+def test_records(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path))
+    own = Records(store, HashEmbedder(32))
+    people = spark.createDataFrame([(n, n.title(), "PERSON", f"{n} is here") for n in ("anna", "bert", "clara")], "id string, entity_name string, entity_type string, description string")
+    none = F.array().cast("array<string>")
+    people = people.withColumns({"source_chunk_id": F.array(F.lit("c")), "documents_id": none, "clusters": F.array().cast("array<struct<level:int,cluster_id:int>>")})
+    own.add_entities(people)
+    own.add_entities(people.where("id = 'anna'").withColumn("description", F.lit("!")))
+    assert own.get_entity("anna").first()["description"] == "anna is here!"
+    assert store.load("entity_vectors").count() == 3
+    links = spark.createDataFrame([("ab", "anna", "bert", "Anna", "Bert", "knows", 4.0), ("bc", "bert", "clara", "Bert", "Clara", "sees", 2.0)], "id string, subject_id string, object_id string, subject_name string, object_name string, description string, relation_strength double")
+    own.add_relations(links.withColumn("source_chunk_id", F.array(F.lit("c"))))
+    own.add_relations(links.where("id = 'ab'").withColumns({"relation_strength": F.lit(2.0), "source_chunk_id": F.array(F.lit("d"))}))
+    got = own.get_relations("bert", "anna").first()
+    assert (got["relation_strength"], got["source_chunk_id"], got["description"]) == (3.0, ["c", "d"], "knowsknows")
+    assert {r["other"] for r in own.entity_neighbours("bert").collect()} == {"anna", "clara"}
+    assert {r["subject_label"] for r in own.entity_relations("bert").collect()} == {"Bert"}
+    assert own.similar_entities("anna", 2).count() == 2 and "anna" not in {r["id"] for r in own.similar_entities("anna", 2).collect()}
+    assert own.entities_like("clara is here", 1).first()["id"] == "clara"
+    assert own.relations_like("sees", 1).first()["object_id"] == "clara"
+    asked = spark.createDataFrame([(0, "bert"), (1, "nobody")], "pos int, id string")
+    assert [r["entity_name"] for r in own.get_entities(asked).collect()] == ["Bert", None]
+    own.update_entities(own.get_entity("clara").withColumn("description", F.lit("new")))
+    assert own.get_entity("clara").first()["description"] == "new"
+    own.delete_relations(spark.createDataFrame([("clara", "bert")], "u string, v string"))
+    assert store.load("relations").count() == store.load("relation_vectors").count() == 1
+    own.delete_entities(people.where("id = 'anna'"))
+    assert (store.load("entities").count(), store.load("relations").count(), store.load("relation_vectors").count()) == (2, 0, 0)
+    own.add_summaries(spark.createDataFrame([("com", "text"), ("no", None)], "id string, summary string"))
+    assert own.get_summary("com").first()["summary"] == "text" and store.load("community_summaries").count() == 1
+    own.delete_summaries(spark.createDataFrame([("com",)], "id string"))
+    assert store.load("community_summaries").count() == 0
+
+
+def test_settings(tmp_path):
+    (tmp_path / ".env").write_text('# x\nLLM_MODEL_NAME="m"\nexport LLM_BASE_URL=http://h\n')
+    own = Endpoint.load(str(tmp_path / ".env"))
+    assert (own.model, own.url) == ("m", "http://h")
+    assert working_folder("w") == "w" and working_folder().startswith("./graphloom_working_dir/")
+
+
 def test_staged_extraction(spark):
     def model(ps):
         out = []
