@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from graphloom import prompts
 from graphloom.functions import text as X
 from graphloom.operators.graph import bfs, bfs_edges, both_ways, incident_edges
+from graphloom.operators.ranking import numbered
 from graphloom.operators.similarity import top_k
 from graphloom.plans.lineage import materialize
 from graphloom.providers import Model, generate, parsed
@@ -39,8 +40,7 @@ def ranked_relations(hits: DataFrame, graph: Graph) -> DataFrame:
     """All edges at the hits from the hit's side, strongest first; one between two hits is there twice."""
     probes = hits.select(F.col("id").alias("node"), F.col("rank").alias("hit_rank"))
     rows = incident_edges(probes, graph.edges, graph.vertices).join(F.broadcast(probes), "node")
-    order = W.orderBy(F.desc("relation_strength"), "hit_rank", "id")
-    return rows.withColumn("position", F.row_number().over(order))
+    return numbered(rows, [F.desc("relation_strength"), F.col("hit_rank"), F.col("id")], "position")
 
 
 def ranked_chunks(hits: DataFrame, graph: Graph) -> DataFrame:
@@ -117,7 +117,7 @@ def ranked_insights(insights: DataFrame) -> DataFrame:
     """Insights (``pos, response, rating``) whose rating, cut to a whole number, is above 0, the highest first; ``rank`` from 1."""
     whole = F.coalesce(F.col("rating"), F.lit(0.0)).cast("int")
     rows = insights.withColumn("whole", whole).where("whole > 0")
-    return rows.withColumn("rank", F.row_number().over(W.orderBy(F.desc("whole"), "pos"))).drop("whole")
+    return numbered(rows, [F.desc("whole"), F.col("pos")], "rank").drop("whole")
 
 
 def insight_context(ranked: DataFrame) -> DataFrame:
