@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -105,7 +105,7 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     """The last event of each user, by upserts of a stream's micro-batches into a stored table."""
     from graphloom.plans.lineage import checkpoint_folder
 
-    folder = f"{checkpoint_folder(spark)}/stream-upsert-{tempfile.mktemp(dir='').strip('/')}"
+    folder = f"{checkpoint_folder(spark)}/stream-upsert-{uuid.uuid4().hex}"
     kind = table(spark, d, "events").schema
     state = {"now": spark.createDataFrame([], "user_id long, last_event long, value double")}
 
