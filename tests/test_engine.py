@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -161,6 +162,29 @@ def test_communities(spark):
     assert communities.modularity(adj, communities.cluster(adj)) > 0.55
 
 
+def test_communities_of_a_large_bipartite_graph(spark):
+    rng = random.Random(2)
+    pairs = sorted({(f"hub{g if rng.random() < 0.9 else rng.randrange(6)}", f"leaf{g}-{i}") for g in range(6) for i in range(80) for _ in range(2)})
+    pairs += [(f"top{g % 2}", f"hub{g}") for g in range(6)] + [("top0", "hub1")]
+    e = spark.createDataFrame([(f"{a}-{b}", a, b) for a, b in pairs], "id string, subject_id string, object_id string")
+    v = spark.createDataFrame([(x,) for x in sorted({x for p in pairs for x in p})], "id string")
+    number = {r["id"]: i for i, r in enumerate(v.orderBy("id").collect())}
+    adj = {i: {} for i in number.values()}
+    for a, b in pairs:
+        adj[number[a]][number[b]] = adj[number[b]][number[a]] = 1.0
+    whole = communities.modularity(adj, communities.cluster(adj))
+    for most, task_edges in ((90, 300),):
+        rows = communities.communities(v, e, most, task_edges=task_edges).collect()
+        first = {number[r["id"]]: r["cluster_id"] for r in rows if r["level"] == 0}
+        assert len(first) == len(number) and len(set(first.values())) < len(number) / 10
+        assert communities.modularity(adj, first) > 0.9 * whole
+        assert len({(r["id"], r["level"]) for r in rows}) == len(rows)
+        deepest: dict[str, tuple[int, int]] = {}
+        for r in rows:
+            deepest[r["id"]] = max(deepest.get(r["id"], (-1, -1)), (r["level"], r["cluster_id"]))
+        assert max(Counter(deepest.values()).values()) <= most
+
+
 def test_density_clusters():
     x = np.array([[0.0], [0.4], [0.8], [5.0], [9.0], [9.1]])
     assert cluster_of(x, 0.5).tolist() == [0, 0, 0, -1, 1, 1]
