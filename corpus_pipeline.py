@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from graphloom.llm import lines, mixing, packing, simhash, toxicity
-from graphloom.llm.common import id_or_least, table
+from graphloom.llm.common import table
 from graphloom.plans.lineage import checkpoint_folder
 
 #: Documents with this score or more are rejected.
@@ -38,12 +38,13 @@ def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies; of rows that share that id, one."""
-    rows = simhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = rows.where(F.col("key") == F.col("component")).select("key").distinct()
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
-    own = docs.select(whole, id_or_least("doc_id").alias("key")).join(kept, "key", "left_semi")
-    return own.dropDuplicates(["key"]).select("doc.*")
+    """The document of each group of near copies that is first by id (null first), fingerprint, text and other columns."""
+    rows = simhash.grouped(docs.select("doc_id", "text"))
+    kept = rows.groupBy("root").agg(F.min(F.struct("key", "fp")).alias("least")).select("least.*")
+    own = simhash.with_fingerprints(docs).join(kept, ["key", "fp"], "left_semi")
+    order = ["text", *[c for c in docs.columns if c != "text"]]
+    first = own.groupBy("key", "fp").agg(F.min(F.struct(*[F.col(f"doc.`{c}`").alias(c) for c in order])).alias("doc"))
+    return first.select(*[F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,9 +31,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from graphloom.llm.common import id_or_least, materialize, texts_to_python
+from graphloom.llm.common import id_or_least, materialize, schema_of, texts_to_python
 from graphloom.operators.components import star_forest
 
 BITS = 64
@@ -219,8 +219,26 @@ def links(fps: DataFrame, most: int = MOST_BITS) -> DataFrame:
     return lists.groupBy("cell").applyInPandas(forest, "u long, v long").distinct()
 
 
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc`` (a struct of all columns), ``key`` and ``fp``, a row per document."""
+    given = texts_to_python(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), id_or_least(id_col).alias("key"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("doc").field(text_col).cast(pa.binary()).to_pylist()
+            fps = np.array([fingerprint(t) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("key"), pa.array(fps.view(np.int64))], ["doc", "key", "fp"])
+
+    return given.mapInArrow(rows, schema_of(given, "doc", "key", fp=T.LongType()))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_BITS) -> DataFrame:
-    """A row per document: ``key, fp, component`` (the smallest key reachable by links of ``most`` bits or fewer).
+    """A row per document: ``key, fp, component`` (the smallest key reachable by links of ``most`` bits or fewer), of :func:`grouped`."""
+    return grouped(docs, id_col, text_col, most).drop("root")
+
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_BITS) -> DataFrame:
+    """A row per document: ``key, fp, component`` and ``root``, a fingerprint that names the group, also where groups share ids.
 
     Null and empty texts have the fingerprint 0, which links like any other;
     a null id is the least (:data:`~graphloom.llm.common.NULL_ID`). Rows that
@@ -232,4 +250,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     forest = star_forest(links(classes, most))
     member = materialize(classes.join(forest.select(F.col("x").alias("fp"), "y"), "fp", "left").select("fp", "least", F.coalesce("y", "fp").alias("root")))
     named = member.groupBy("root").agg(F.min("least").alias("component"))
-    return rows.join(member.join(named, "root").select("fp", "component"), "fp")
+    return rows.join(member.join(named, "root").select("fp", "component", "root"), "fp")

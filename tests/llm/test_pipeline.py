@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from graphloom.llm.common import NULL_ID
@@ -90,6 +91,16 @@ def test_one_document_of_each_group_stays(spark):
     assert Counter(NULL_ID if r["doc_id"] is None else r["doc_id"] for r in kept) == Counter([1, NULL_ID, 3])
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    one, two, three = "alpha beta gamma delta", "river stone window garden paper", "little morning summer walking under"
+    rows = [(None, one, "b"), (None, two, "c"), (None, three, "d"), (5, one, "e"), (2, two, "f"), (7, "silver letter house the", "g"), (7, "quite other words than those", "h"), (7, "Silver  letter house the", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    for given in (docs, docs.orderBy("key"), docs.orderBy(F.desc("key")).repartition(3)):
+        kept = sorted(r["key"] for r in pipeline.near_copies_out(spark, given, SF).collect())
+        assert kept == ["b", "c", "d", "h", "i"]
+
+
+
 def test_run(spark):
     rows = pipeline.run(spark, SF).collect()
     assert rows and all(0 < r["length"] <= 2048 for r in rows)
