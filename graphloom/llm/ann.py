@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import product
+from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,8 @@ SAMPLE, SAMPLE_QUERIES, RECALL = 20_000, 200, 0.97
 BUCKET, MOST_DIRECTIONS = 400, 7
 BLOCK = 4096
 WIDTHS = (1.0, 1.5, 2.0, 2.5, 3.0)
+#: How often the last width is doubled, at most, where none of them reaches the recall.
+DOUBLINGS = 64
 
 
 @dataclass
@@ -81,7 +83,12 @@ def keys(places: np.ndarray) -> np.ndarray:
 
 
 def fit(sample: np.ndarray, total: int, norm: float, k: int = K, tables: int = TABLES, recall: float = RECALL, seed: int = 5) -> Hash:
-    """The hash of least estimated work (rows in the buckets probed) that reaches the recall on the sample."""
+    """The hash of least estimated work (rows in the buckets probed) that reaches the recall on the sample.
+
+    If no width does, as where norms differ much and the data lie far from
+    the queries, the first doubled one that does. If none does either, no
+    bucket is probed, and so every query is searched through all of them.
+    """
     rng = np.random.default_rng(seed)
     n = int(np.clip(round(np.log(max(total, 1) / BUCKET) / np.log(3)), 1, MOST_DIRECTIONS))
     queries = sample[rng.permutation(len(sample))[:SAMPLE_QUERIES]]
@@ -90,7 +97,9 @@ def fit(sample: np.ndarray, total: int, norm: float, k: int = K, tables: int = T
     near = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]  # a query is its own neighbour
     spread = max(1e-12, float(np.einsum("tnd,rd->trn", a[:, :, :-1], sample).std()))
     best = None
-    for width in WIDTHS:
+    for width in chain(WIDTHS, (WIDTHS[-1] * 2.0**i for i in range(1, DOUBLINGS + 1))):
+        if best is not None and width > WIDTHS[-1]:
+            break
         h = Hash(a, rng.uniform(0, 1, (tables, n)) * width * spread, width * spread, norm, 1)
         steps = h.steps()
         data, probe = np.floor(h.places(sample, False)).astype(np.int64), h.places(queries, True)
@@ -114,8 +123,8 @@ def fit(sample: np.ndarray, total: int, norm: float, k: int = K, tables: int = T
             work = float(np.cumsum(sizes)[need - 1]) * max(1.0, total / len(sample)) + 20.0 * need * tables
             if best is None or work < best[0]:
                 best = (work, Hash(h.a, h.b, h.width, norm, need))
-    if best is None:  # no width puts enough neighbours into adjacent buckets
-        return Hash(a, np.zeros((tables, n)), spread * WIDTHS[-1] * 2, norm, 3**n)
+    if best is None:
+        return Hash(a, np.zeros((tables, n)), spread, norm, 0)
     return best[1]
 
 

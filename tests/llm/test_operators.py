@@ -94,6 +94,29 @@ def test_neighbours(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("longest", [8.0, 12.0])
+def test_recall_with_an_outlying_norm(longest):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((4000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[0] *= longest
+    asked = np.arange(1, 4000, 40)
+    near = np.argsort(-(x[asked] @ x.T), axis=1, kind="stable")[:, : ann.K + 1]
+    for seed in range(4):
+        h = ann.fit(x, len(x), float(np.linalg.norm(x, axis=1).max()), ann.K + 1, seed=seed)
+        if not h.probes:  # all queries go through all buckets
+            continue
+        steps = h.steps()
+        data, probe = np.floor(h.places(x, False)), h.places(x[asked], True)
+        met = np.zeros((len(asked), len(x)), bool)
+        for t in range(len(data)):
+            order = np.argsort(h.orders(probe[t], steps), axis=1, kind="stable")[:, : h.probes]
+            own = ann.keys(np.floor(probe[t])[:, None, :] + steps[order])
+            met |= (ann.keys(data[t])[None, :, None] == own[:, None, :]).any(axis=2)
+        assert np.take_along_axis(met, near, axis=1).mean() > 0.93
+
+
+
 def test_probes_come_in_order_of_estimated_success():
     rng = np.random.default_rng(0)
     h = ann.Hash(rng.standard_normal((1, 3, 5)), np.zeros((1, 3)), 1.0, 1.0, 27)
