@@ -99,7 +99,7 @@ def signs(segment: str, before: str) -> list[str]:
     out.append("split by " + "".join(sorted(set(re.sub(r"[^\W_]", "", core)))[:6]))
     if SIGN.search(core):
         out.append("at")
-        if re.search(r"[A-Za-z0-9._%+-]+\s*(?:@|\(at\)|\[at\])\s*[A-Za-z0-9-]+\s*(?:\.|\(dot\)|\[dot\])\s*[A-Za-z0-9-]{2,}$", core, re.I):
+        if re.match(r"[A-Za-z0-9._%+-]+\s*(?:@|\(at\)|\[at\])\s*[A-Za-z0-9-]+\s*(?:\.|\(dot\)|\[dot\])\s*[A-Za-z0-9-]{2,}$", core, re.I):
             out.append("address")
     if core.startswith("+"):
         out.append("plus")
@@ -253,25 +253,20 @@ def decode(tokens: tuple[str, ...], weights: dict[str, np.ndarray]) -> list[tupl
 
 
 def windows(text: str) -> Iterator[list[re.Match]]:
-    """Tokens with digits or address signs, each with its neighbours; windows that overlap are one."""
+    """Tokens with digits or address signs, each with all that a segment can reach and the word before that; windows that overlap are one."""
     own: list[re.Match] = []
-    before: re.Match | None = None
-    after = 0
+    quiet: list[re.Match] = []  # tokens since the last one with a digit or sign
     for m in TOKEN.finditer(text):
-        if (_DIGIT.search(m[0]) or SIGN.search(m[0])) is not None:
-            if not own and before is not None:
-                own.append(before)
-            own.append(m)
-            after = 2  # "(at) host (dot) com": the next two tokens may belong to it
-        elif after:
-            own.append(m)
-            after -= 1
-        elif own:
-            yield own
+        if (_DIGIT.search(m[0]) or SIGN.search(m[0])) is None:
+            quiet.append(m)
+            continue
+        if own and len(quiet) >= 2 * MOST_TOKENS - 1:
+            yield own + quiet[: MOST_TOKENS - 1]
             own = []
-        before = m
+        own += [*(quiet if own else quiet[-MOST_TOKENS:]), m]
+        quiet = []
     if own:
-        yield own
+        yield own + quiet[: MOST_TOKENS - 1]
 
 
 _DIGIT = re.compile("[0-9]")

@@ -311,6 +311,23 @@ def test_field_decoding_is_the_best_of_all(spark):
     assert sum(segs[i, j][y] for i, j, y in pii.decode(tuple(tokens), weights)) == pytest.approx(best(len(tokens)))
 
 
+def test_spelled_out_addresses_are_whole(spark):
+    texts = ["john (at) example (dot) com please", "we wrote to john (at) example (dot) com", "so mail anna (at) river (dot) org and then bob (at) stone (dot) net or not"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc"]["doc_id"]: [texts[r["doc"]["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "crf_email"] for r in pii.find(docs).collect()}
+    assert got == {0: ["john (at) example (dot) com"], 1: ["john (at) example (dot) com"], 2: ["anna (at) river (dot) org", "bob (at) stone (dot) net"]}
+
+
+def test_windows_hold_all_that_a_segment_reaches():
+    rng = random.Random(6)
+    for _ in range(300):
+        words = [rng.choice(["a", "b", "c", "d", "e", "7"]) if rng.random() < 0.3 else "w" for _ in range(60)]
+        near = {j for i, w in enumerate(words) if w == "7" for j in range(max(0, i - pii.MOST_TOKENS), min(len(words), i + pii.MOST_TOKENS))}
+        got = [m.start() // 2 for own in pii.windows(" ".join(words)) for m in own]
+        assert len(got) == len(set(got)) and near <= set(got)
+
+
+
 # --- toxicity ----------------------------------------------------------------------------------
 
 
