@@ -38,8 +38,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 #: Weak candidates.
-LOGIN = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id)["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9._@-]{3,64})""", re.A | re.I)
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,64}(?![A-Za-z0-9+/_=-])")
+LOGIN = re.compile(r"""\b(?:user(?:name)?|login|account|client_?id)["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9._@-]{3,})""", re.A | re.I)
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"""[a-z][a-z0-9+]{1,15}://[A-Za-z0-9.-]+(?::[0-9]{1,5})?""")
 BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
