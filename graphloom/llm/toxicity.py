@@ -168,10 +168,15 @@ def stretches(text: bytes, at: np.ndarray, spaced: bool) -> Iterator[bytes]:
 
 
 def suspicious(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of a symbol before a letter or of a letter three times in a row, and places where single characters alternate with separators."""
+    """Places of a symbol beside a letter (a final ``!`` is none) or of a letter three times in a row, and places where single characters alternate with separators."""
     letter, symbol, separator = _LETTER[codes], _SYMBOL[codes], _SEPARATOR[codes]
     low = codes | 32
     leet = np.flatnonzero(symbol[:-1] & letter[1:]) if len(codes) > 1 else np.empty(0, np.int64)
+    bang = codes == ord("!")
+    last = symbol & ~bang  # a symbol after a letter, or after exclamation marks after one
+    after = letter | bang
+    leet = np.union1d(leet, np.flatnonzero(last[1:] & letter[:-1]) + 1) if len(codes) > 1 else leet
+    leet = np.union1d(leet, np.flatnonzero(last[2:] & bang[1:-1] & after[:-2]) + 2) if len(codes) > 2 else leet
     thrice = np.flatnonzero((low[:-2] == low[1:-1]) & (low[1:-1] == low[2:]) & letter[:-2] & (codes[:-2] < 128)) if len(codes) > 2 else leet[:0]
     mark = letter | symbol
     single = mark.copy()

@@ -311,17 +311,6 @@ def test_field_finds_what_patterns_miss():
     assert right / total > 0.8 and right / said > 0.8
 
 
-def test_field_decoding_is_the_best_of_all(spark):
-    weights = pii.field()
-    tokens = "call (988) 555-2485 or 4111 1111 1111 1111 now".split()
-    segs = {(i, j): sum((weights.get(f, np.zeros(4)) for f in fs), np.zeros(4)) for i, j, fs in pii.segments(tokens)}
-
-    def best(j: int) -> float:
-        return 0.0 if j == 0 else max([best(j - 1), *(best(i) + s.max() for (i, e), s in segs.items() if e == j)])
-
-    assert sum(segs[i, j][y] for i, j, y in pii.decode(tuple(tokens), weights)) == pytest.approx(best(len(tokens)))
-
-
 def test_spelled_out_addresses_are_whole(spark):
     texts = ["john (at) example (dot) com please", "we wrote to john (at) example (dot) com", "so mail anna (at) river (dot) org and then bob (at) stone (dot) net or not"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -339,6 +328,17 @@ def test_windows_hold_all_that_a_segment_reaches():
 
 
 
+def test_field_decoding_is_the_best_of_all(spark):
+    weights = pii.field()
+    tokens = "call (988) 555-2485 or 4111 1111 1111 1111 now".split()
+    segs = {(i, j): sum((weights.get(f, np.zeros(4)) for f in fs), np.zeros(4)) for i, j, fs in pii.segments(tokens)}
+
+    def best(j: int) -> float:
+        return 0.0 if j == 0 else max([best(j - 1), *(best(i) + s.max() for (i, e), s in segs.items() if e == j)])
+
+    assert sum(segs[i, j][y] for i, j, y in pii.decode(tuple(tokens), weights)) == pytest.approx(best(len(tokens)))
+
+
 # --- toxicity ----------------------------------------------------------------------------------
 
 
@@ -373,6 +373,20 @@ def test_toxicity(spark, toxic):
     assert {r["score"] < 0.5 for r in toxicity.score(docs, nothing).collect()} == {True}
 
 
+def test_symbols_at_the_end_of_a_word(toxic):
+    scorer = toxicity.learn(*toxic)
+    for word in ("idi0+", "idio+", "id10+", "m0r0n", "mo+0n"):
+        places, _ = toxicity.suspicious(np.frombuffer(f"you {word} there".encode(), np.uint8))
+        assert len(places), word
+    strongest = [s[0] for s in scorer.signs([b"you idi0+ there", b"you idio+ there", b"what an idi0+!", b"river stone!", b"river stone!! paper"])]
+    assert all(x > 0 for x in strongest[:3]) and strongest[3:] == [0.0, 0.0]
+    for plain in (b"wow! so!! good!", b"yes!", b"12 + 30", b""):
+        assert not len(toxicity.suspicious(np.frombuffer(plain, np.uint8))[0]), plain
+    for hidden in (b"kil1", b"ki11", b"shi+", b"k!11"):
+        assert len(toxicity.suspicious(np.frombuffer(hidden, np.uint8))[0]), hidden
+
+
+
 def test_decoding_is_the_likeliest_path():
     rng = np.random.default_rng(4)
     model = toxicity.log_model(rng.integers(0, 50, (28, 28, 28)).astype(float))
