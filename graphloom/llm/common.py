@@ -49,9 +49,9 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 
 def id_or_least(name: str) -> Column:
     """An id column as long, null as the least value."""
-    return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))
+    return F.coalesce(F.col(f"`{name}`").cast("long"), F.lit(NULL_ID))
 
 
 def null_id_back(name: str) -> Column:
     """The reverse of :func:`id_or_least`."""
-    return F.when(F.col(name) != NULL_ID, F.col(name))
+    return F.when(F.col(f"`{name}`") != NULL_ID, F.col(f"`{name}`"))
