@@ -48,20 +48,24 @@ def messages(events: DataFrame) -> DataFrame:
     """``conv_id, turn, nth, role, text`` of the messages that live at the end of a log.
 
     ``events``: conv_id, turn, nth (breaks ties of turn; 0 if there are
-    none), seq, kind, role, text. A null text is empty, a null role is ''; a
-    null conv_id is a conversation and a null turn is the first. The role is
-    that of the message's last start. An unknown kind does nothing.
+    none), seq (of any type that has an order), kind, role, text. A null text
+    is empty, a null role is ''; a null conv_id is a conversation and a null
+    turn is the first. The role is that of the message's last start. A
+    message whose first event is a delta begins there. An unknown kind does
+    nothing more than that. Events of equal seq in a message are folded by
+    kind, then text. Other columns have no effect; an empty log has no
+    messages.
     """
     reset = F.col("kind").isin("start", "edit", "regenerate")
     steers = F.col("kind").isin("edit", "regenerate")
     of = F.struct("seq", "kind", F.coalesce("text", F.lit("")).alias("text"))
     own = events.groupBy("conv_id", "turn", "nth").agg(
-        F.max(F.when(reset, F.col("seq"))).alias("born"),
+        F.coalesce(F.max(F.when(reset, F.col("seq"))), F.min("seq")).alias("born"),
         F.max(F.when(steers, F.col("seq"))).alias("steered"),
         F.max_by("role", F.when(F.col("kind") == "start", F.col("seq"))).alias("role"),
         F.array_sort(F.collect_list(F.when(F.col("kind").isin("delta", "edit"), of))).alias("parts"),
     )
-    fits = F.filter("parts", lambda p: F.coalesce(p["seq"] >= F.col("born"), F.lit(True)))
+    fits = F.filter("parts", lambda p: p["seq"] >= F.col("born"))
     own = own.withColumn("text", F.array_join(F.transform(fits, lambda p: p["text"]), "")).drop("parts")
     own = own.withColumn("range", F.coalesce(F.floor(F.col("turn") / RANGE), F.lit(-(2**62))))
     ranges = own.where(F.col("steered").isNotNull()).groupBy("conv_id", "range").agg(F.max("steered").alias("steered"))
@@ -79,7 +83,12 @@ def messages(events: DataFrame) -> DataFrame:
 
 
 def render(rows: DataFrame) -> DataFrame:
-    """Messages with ``piece`` (the turn in the template) and ``loss_start, loss_end``, the code points of it that are learned from (equal if none)."""
+    """Messages with ``piece`` (the turn in the template) and ``loss_start, loss_end``, the code points of it that are learned from (equal if none).
+
+    Roles and texts are not null here (:func:`messages` sees to that); an
+    empty text is a turn with nothing between its marks, repeated turns are
+    pieces each, and other columns stay. An empty table gives no rows.
+    """
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT))
     text = escape(F.col("text"))
     rows = rows.withColumn("piece", F.concat(head, text, F.lit(END))).withColumn("loss_start", F.length(head))
@@ -96,11 +105,28 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def digests(rendered: DataFrame) -> DataFrame:
-    """What can be read back from each conversation's pieces: ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``."""
+    """What can be read back from each conversation's pieces: ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``.
+
+    Pieces are parsed where they lie; only what the digests take in is dealt
+    by conversation, and streams through them there, turn by turn. A null
+    conv_id is a conversation. Turns that share (turn, nth) go in any order.
+    An empty table gives no rows.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own: list[list] = [[], [], [], []]
+            for piece, a, b in zip(*(batch.column(c).to_pylist() for c in ("piece", "loss_start", "loss_end")), strict=True):
+                turns = parse(piece)
+                for col, v in zip(own, ("".join(f"{role}\n{text}\n" for role, text in turns), unescape(piece[a:b]), len(turns), len(piece)), strict=True):
+                    col.append(v)
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("conv_id", "turn", "nth")], *[pa.array(c, k) for c, k in zip(own, kinds, strict=True)]], ["conv_id", "turn", "nth", "said", "learned", "n", "chars"])
+
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
         at, state = None, None
 
@@ -114,36 +140,60 @@ def digests(rendered: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            for conv, piece, a, b in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "piece", "loss_start", "loss_end")), strict=True):
+            for conv, said, learned, n, chars in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "said", "learned", "n", "chars")), strict=True):
                 if state is None or conv != at:
                     close()
                     at, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text in parse(piece):
-                    state[0] += 1
-                    state[1].update(f"{role}\n{text}\n".encode())
-                learned = unescape(piece[a:b])
+                state[0] += n
+                state[1].update(said.encode())
                 state[2] += len(learned)
                 state[3].update(learned.encode())
-                state[4] += len(piece)
+                state[4] += chars
             yield flush()
         close()
         yield flush()
 
-    rows = rendered.select("conv_id", "turn", "nth", "piece", "loss_start", "loss_end").repartition("conv_id")
+    own = rendered.select("conv_id", "turn", "nth", "piece", "loss_start", "loss_end")
+    order = own.schema
+    fields = ", ".join(f"{c} {order[c].dataType.simpleString()}" for c in ("conv_id", "turn", "nth"))
+    rows = own.mapInArrow(read, f"{fields}, said string, learned string, n long, chars long").repartition("conv_id")
     rows = rows.sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "nth")
-    return rows.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def as_events(turns: DataFrame, chunk: int = 512) -> DataFrame:
-    """A log of finished turns (conv_id, turn, role, text): each is a start and streamed deltas of ``chunk`` code points.
+#: Where a discarded message of a turn is put: behind all others of the turn.
+ABANDONED = 2**32
+
 
-    Rows that share (conv_id, turn) are turns of their own, by role and text.
+def as_events(turns: DataFrame, chunk: int = 512) -> DataFrame:
+    """A log of how turns (conv_id, turn, role, text) may have come about, which the fold must undo.
+
+    By a hash of its place, a turn is streamed in deltas of ``chunk`` code
+    points at once; or streamed otherwise first and regenerated; or begun
+    with other words, edited to its first chunk, and streamed on; or left for
+    a later message, which an edit of the turn to its whole text discards.
+    ``seq`` is (turn, nth, step). Rows that share (conv_id, turn) are turns
+    of their own, by role and text; null roles and texts are kept as such.
+    Other columns are left out. An empty table gives an empty log.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    nth = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy(F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()))
-    rows = turns.select("conv_id", "turn", "role", "text").withColumn("nth", nth).withColumn("text", text)
+    nth = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))).cast("long")
+    rows = turns.select("conv_id", "turn", "role", F.col("text").cast("string").alias("text")).withColumn("nth", nth).withColumn("text", F.coalesce("text", F.lit("")))
     starts = F.sequence(F.lit(1), F.ceil(F.length("text") / chunk).cast("int") * chunk + 1, F.lit(chunk))
-    deltas = F.transform(starts, lambda a, i: F.struct((i + 1).cast("long").alias("seq"), F.lit("delta").alias("kind"), F.substring(F.col("text"), a, F.lit(chunk)).alias("text")))
-    start = F.array(F.struct(F.lit(0).cast("long").alias("seq"), F.lit("start").alias("kind"), F.lit("").alias("text")))
-    rows = rows.withColumn("e", F.explode(F.concat(start, deltas)))
-    return rows.select("conv_id", "turn", "nth", "role", "e.seq", "e.kind", "e.text")
+    deltas = F.transform(starts, lambda a: F.struct(F.lit(0).cast("long").alias("place"), F.lit("delta").alias("kind"), F.substring(F.col("text"), a, F.lit(chunk)).alias("text")))
+
+    def event(kind: str, text: Column | None = None, place: int = 0) -> Column:
+        return F.array(F.struct(F.lit(place).cast("long").alias("place"), F.lit(kind).alias("kind"), (F.lit("") if text is None else text).alias("text")))
+
+    draft = F.concat(F.lit("draft "), F.reverse(F.substring("text", 1, 64)))
+    rest = F.slice(deltas, 2, F.size(deltas))
+    ways = [
+        F.concat(event("start"), deltas),
+        F.concat(event("start"), event("delta", draft), event("regenerate"), deltas),
+        F.concat(event("start"), event("delta", draft), event("edit", F.substring("text", 1, chunk)), rest),
+        F.concat(event("start"), event("delta", draft), event("start", None, ABANDONED), event("delta", F.col("text"), ABANDONED), event("edit", F.col("text"))),
+    ]
+    way = F.pmod(F.xxhash64("conv_id", "turn", "nth"), F.lit(len(ways)))
+    log = F.when(way == 0, ways[0]).when(way == 1, ways[1]).when(way == 2, ways[2]).otherwise(ways[3])
+    rows = rows.select("conv_id", "turn", "nth", "role", F.posexplode(log).alias("step", "e"))
+    seq = F.struct(F.coalesce("turn", F.lit(-(2**63))).alias("turn"), "nth", "step")
+    return rows.select("conv_id", "turn", (F.col("nth") + F.col("e.place")).alias("nth"), "role", seq.alias("seq"), "e.kind", "e.text")
