@@ -3,7 +3,7 @@
 Every source has a target number of words. A source takes ``floor(target /
 size)`` whole copies of all its documents; what remains of the target is a
 sample without replacement. Document i gets a uniform number U_i from a hash
-of its id and a target inclusion probability p_i; documents are ranked by the
+of its id and text and a target inclusion probability p_i; documents are ranked by the
 Pareto variable ``odds(U_i) / odds(p_i)``, and the sample is the prefix of
 that ranking that fills the remaining words. ``odds(p_i) = odds(f) * g_i``,
 where f is the fraction of its source that is still to be taken and ``g_i =
@@ -32,25 +32,28 @@ WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 #: Documents in one range of the ranking, about.
 RANGE_ROWS = 2_000
+#: Plans of the sources are broadcast if there are so many at most.
+FEW_SOURCES = 100_000
 #: The ranking is followed once, and then again among documents that fit in what is left.
 FILLS = 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``size`` (words; 0 for null) and the ranking columns ``v`` and ``key``."""
+    """``docs`` with ``size`` (words; 0 for null) and the ranking columns ``v``, ``key`` and ``tie``, the row's place in the input."""
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit("mix-"), id_or_least("doc_id").cast("string"))), 1, 13), 16, 10).cast("long")
+    own = F.concat(F.lit("mix-"), id_or_least("doc_id").cast("string"), F.lit("-"), F.md5(F.coalesce("text", F.lit(""))))
+    bits = F.conv(F.substring(F.md5(own), 1, 13), 16, 10).cast("long")
     u = (bits.cast("double") + 0.5) / F.lit(float(2**52))
     g = (F.col("size") + 1).cast("double") / (F.col("size") + 51).cast("double")
-    return docs.withColumn("size", size).withColumn("v", u / (1 - u) / g).withColumn("key", id_or_least("doc_id"))
+    return docs.withColumn("size", size).withColumn("v", u / (1 - u) / g).withColumn("key", id_or_least("doc_id")).withColumn("tie", F.monotonically_increasing_id())
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """A row per source: ``source, source_size, source_rows, target``.
 
-    Sources are a short curated list, so windows over them may sit in one
-    task. A source is capped if its share by weight of what the sources
+    A source is one row here, so windows over all of them sit in one task,
+    which spills. A source is capped if its share by weight of what the sources
     before it, in the order of cap / weight, leave over reaches its cap.
     """
     of = F.array(*[F.lit(w).cast("long") for w in weights])
@@ -69,35 +72,35 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def _cut(rows: DataFrame) -> DataFrame:
-    """The last (v, key, size) of each source, in that order, up to which the words stay within ``room``.
+    """The last (v, key, size, tie) of each source, in that order, up to which the words stay within ``room``.
 
-    ``rows``: source, n_ranges, room, v, key, size. Rows of equal (v, key,
-    size) count as one. Returns source, cut, words; sources that can take
-    nothing are absent.
+    ``rows``: source, n_ranges, room, v, key, size, tie. Returns source, cut,
+    words; sources that can take nothing are absent.
     """
     at = F.least((F.col("v") / (1 + F.col("v")) * F.col("n_ranges")).cast("long"), F.col("n_ranges") - 1)
     rows = rows.withColumn("range", F.coalesce(at, F.col("n_ranges") - 1))
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
     before = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranges = ranges.select(F.col("source").alias("s"), F.col("range").alias("r"), before.alias("before"))
-    rows = rows.withColumn("here", F.sum("size").over(W.partitionBy("source", "range").orderBy("v", "key", "size")))
+    rows = rows.withColumn("here", F.sum("size").over(W.partitionBy("source", "range").orderBy("v", "key", "size", "tie")))
     rows = rows.join(ranges, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     rows = rows.withColumn("upto", F.col("before") + F.col("here")).where(F.col("upto") <= F.col("room"))
-    return rows.groupBy("source").agg(F.max(F.struct("v", "key", "size")).alias("cut"), F.max("upto").alias("words"))
+    return rows.groupBy("source").agg(F.max(F.struct("v", "key", "size", "tie")).alias("cut"), F.max("upto").alias("words"))
 
 
 def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, fills: int = FILLS) -> DataFrame:
     """A row per source: targets, ``whole`` copies, and the cut-offs ``cut_k`` with the largest size ``fits_k`` each applies to.
 
-    ``sizes``: source, size, v, key, one row per document.
+    ``sizes``: source, size, v, key, tie, one row per document.
     """
     per = materialize(targets(sizes, weights, most))
+    few = per.count() <= FEW_SOURCES
     whole = F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0))
     per = per.withColumn("whole", whole).withColumn("room", F.floor(F.col("target") - whole * F.col("source_size")))
     per = per.withColumn("n_ranges", F.ceil(F.col("source_rows") / RANGE_ROWS))
     for k in range(fills):
         per = per.withColumn(f"fits_{k}", F.col("room"))
-        rows = _with(sizes, per, "n_ranges", "room", *[f"{c}_{i}" for i in range(k) for c in ("cut", "fits")])
+        rows = _with(sizes, per, few, "n_ranges", "room", *[f"{c}_{i}" for i in range(k) for c in ("cut", "fits")])
         rows = rows.where((F.col("size") <= F.col("room")) & (F.col("size") > 0) & ~_taken(k))
         cuts = _cut(rows).withColumnsRenamed({"source": "s", "cut": f"cut_{k}"})
         per = per.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
@@ -105,17 +108,17 @@ def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_
     return per
 
 
-def _with(rows: DataFrame, per: DataFrame, *names: str) -> DataFrame:
-    """``rows`` with columns of their source; a nested record per source keeps clashing names apart."""
+def _with(rows: DataFrame, per: DataFrame, few: bool, *names: str) -> DataFrame:
+    """``rows`` with columns of their source, which are broadcast if the sources are few."""
     own = per.select(F.col("source").alias("s"), *[F.col(n) for n in names])
-    return rows.join(own, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    return rows.join(F.broadcast(own) if few else own, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
 
 
 def _taken(fills: int) -> Column:
     """Whether one of the first cut-offs takes a row."""
     out = F.lit(False)
     for k in range(fills):
-        own = F.struct(F.col("v"), F.col("key"), F.col("size"))
+        own = F.struct(F.col("v"), F.col("key"), F.col("size"), F.col("tie"))
         out = out | F.coalesce((F.col("size") <= F.col(f"fits_{k}")) & (own <= F.col(f"cut_{k}")), F.lit(False))
     return out
 
@@ -125,23 +128,25 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
 
     Null texts and texts without words have size 0 and no copies beyond the
     whole ones. A null source is a source, the last one. Null doc_ids rank as
-    the least id. Repeated rows and rows that share (doc_id, size) within a
-    source are taken or left together. An empty table gives no rows.
+    the least id. Rows that share an id but not their text have random numbers
+    of their own; of rows that share both, as many are taken as there is room
+    for, the first in the order of the input's partitions. An empty table
+    gives no rows.
     """
     rows = sized(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "text", "source"))
-    per = plan(materialize(rows.select("source", "size", "v", "key")), weights, most)
+    per = plan(materialize(rows.select("source", "size", "v", "key", "tie")), weights, most)
     return _apply(rows.drop("text"), per)
 
 
 def _apply(rows: DataFrame, per: DataFrame) -> DataFrame:
     names = [f"{c}_{k}" for k in range(FILLS) for c in ("cut", "fits")]
-    rows = _with(rows, per, "source_size", "target", "whole", *names)
-    return rows.withColumn("copies", F.col("whole") + _taken(FILLS).cast("long")).drop("whole", "v", "key", *names)
+    rows = _with(rows, per, per.count() <= FEW_SOURCES, "source_size", "target", "whole", *names)
+    return rows.withColumn("copies", F.col("whole") + _taken(FILLS).cast("long")).drop("whole", "v", "key", "tie", *names)
 
 
 def mixed_sizes(docs: DataFrame) -> DataFrame:
     """What the mix takes of each document: ``doc_id, source, size, source_size, target, copies, taken``; texts are read once."""
-    rows = materialize(sized(docs).select("doc_id", "source", "size", "v", "key"))
+    rows = materialize(sized(docs).select("doc_id", "source", "size", "v", "key", "tie"))
     return _apply(rows, plan(rows.drop("doc_id"))).withColumn("taken", F.col("size") * F.col("copies"))
 
 

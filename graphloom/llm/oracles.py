@@ -39,7 +39,7 @@ mix_sized AS (
   SELECT *, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
          coalesce(doc_id, -9223372036854775808) AS key, row_number() OVER () AS n FROM {docs}),
 mix_u AS (
-  SELECT *, ((('0x' || substr(md5('mix-' || key::VARCHAR), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM mix_sized),
+  SELECT *, ((('0x' || substr(md5('mix-' || key::VARCHAR || '-' || md5(coalesce(text, ''))), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM mix_sized),
 mix_ranked AS (
   SELECT *, u / (1 - u) / ((size + 1)::DOUBLE / (size + 51)::DOUBLE) AS v FROM mix_u),
 mix_per0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM mix_ranked GROUP BY source),
@@ -59,7 +59,7 @@ mix_left0 AS (SELECT r.*, p.source_size, p.target, p.whole, p.room FROM mix_rank
     for k in range(FILLS):
         out += f""",
 mix_cum{k} AS (
-  SELECT *, size > 0 AND size <= room AND sum(CASE WHEN size <= room THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY v, key, size) <= room AS yes FROM mix_left{k}),
+  SELECT *, size > 0 AND size <= room AND sum(CASE WHEN size <= room THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY v, key, size, n) <= room AS yes FROM mix_left{k}),
 mix_took{k} AS (SELECT * FROM mix_cum{k} WHERE yes),
 mix_words{k} AS (SELECT source, sum(size)::BIGINT AS words FROM mix_took{k} GROUP BY source),
 mix_left{k + 1} AS (
