@@ -37,24 +37,29 @@ GROUP_TOKENS = 2_000_000
 LEAST_CUT = 8
 
 
+#: The added token of the vocabulary and its id (fixed).
+ADDED = {"<|endoftext|>": 50256}
+
+
 @cache
 def _byte_bpe(path: str, pattern: str):
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
 def byte_bpe_encoder(path: str | None = None) -> Callable[[str], list[int]]:
-    """Token ids of a text by the public byte-level BPE with 50,257 ids; strings of special tokens are ordinary text.
+    """Token ids of a text by the public byte-level BPE with 50,257 ids, the string of its added token being that token.
 
     ``path`` is a file of base64 tokens and ranks, by default the installed
     one of the vocabulary in ``byte_bpe_50k.json``; tests compare the two.
     """
     import public_tokenizers as public
 
-    return _byte_bpe(path or public.path("byte_bpe_50k.tiktoken"), public.PATTERN).encode_ordinary
+    encode = _byte_bpe(path or public.path("byte_bpe_50k.tiktoken"), public.PATTERN).encode
+    return lambda text: encode(text, allowed_special="all")
 
 
 def combinations(window: int = WINDOW, unit: int = UNIT, depth: int = DEPTH) -> list[tuple[int, ...]]:
@@ -178,7 +183,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     sequence is as long as the window (short of it by fewer than
     ``LEAST_CUT`` tokens a gap) or a power of two. Sequence ids carry the
     number of the partition, so a rerun of a lost task gives the same ones.
-    An empty table gives no rows.
+    Repeated rows are packed each, and other columns are left out, whatever
+    their names. An empty table gives no rows.
     """
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
