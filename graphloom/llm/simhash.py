@@ -47,7 +47,9 @@ COMPARE = 0.02
 #: Entries of a group of lists that one call gets, about.
 GROUP_ROWS = 20_000
 #: A value's list is split into blocks of so many entries, which meet pairwise.
-LIST_ROWS = 200_000
+LIST_ROWS = 32_768
+#: Shingles of a text that are hashed together, at most.
+BLOCK_WORDS = 65_536
 
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
@@ -61,10 +63,14 @@ def fingerprint(text: bytes | None) -> int:
     if len(words) < SHINGLE:
         return hashed(b" ".join(words), SEED)
     n = len(words) - SHINGLE + 1
-    h = np.fromiter([hashed(b" ".join(t), SEED) for t in zip(*[words[i:] for i in range(SHINGLE)])], np.uint64, n)
-    lanes = _SPREAD[h.view(np.uint8).reshape(n, 8)]  # a byte of counts for each bit
-    sums = np.add.reduceat(lanes, np.arange(0, n, 255), axis=0)
-    counts = sums.view(np.uint8).reshape(len(sums), BITS).sum(axis=0, dtype=np.int64)
+    counts = np.zeros(BITS, np.int64)
+    for a in range(0, n, BLOCK_WORDS):
+        some = words[a : a + BLOCK_WORDS + SHINGLE - 1]
+        m = len(some) - SHINGLE + 1
+        h = np.fromiter([hashed(b" ".join(t), SEED) for t in zip(*[some[i:] for i in range(SHINGLE)])], np.uint64, m)
+        lanes = _SPREAD[h.view(np.uint8).reshape(m, 8)]  # a byte of counts for each bit
+        sums = np.add.reduceat(lanes, np.arange(0, m, 255), axis=0)
+        counts += sums.view(np.uint8).reshape(len(sums), BITS).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 

@@ -34,12 +34,12 @@ from graphloom.llm.common import materialize, schema_of, texts_to_python, with_t
 
 #: Labelled documents that the features are learned from, at most, by label (0, 1).
 FIT_ROWS = (6000, 3000)
-#: Features that a score knows, at most.
-FEATURES = 2000
 #: A feature needs so many toxic documents, and such log odds, taken so many standard errors low.
 LEAST_SUPPORT, LEAST_ODDS, ERRORS = 3, 2.2, 1.64
 #: Lengths in bytes of the stems that are features.
 STEMS = (4, 5, 6, 7, 8, 10)
+#: Letters of a whole word that is sought inside a spaced-out run of words; of longer ones the stems are.
+LONGEST = 24
 #: What a character may stand for beside itself (fixed values of common leetspeak).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 #: Characters that may stand between the letters of a word and mean nothing.
@@ -200,7 +200,8 @@ def restored(text: bytes, tokens: np.ndarray, spaced: np.ndarray, say) -> set[by
     for s in stretches(text, spaced, True):
         word = say(s)
         for i in range(max(1, len(word) - 3)):  # words may follow each other without a gap
-            out.update(word[i:j] for j in range(i + 4, min(len(word), i + 13) + 1))
+            out.update(word[i:j] for j in range(i + 4, min(len(word), i + LONGEST) + 1))
+            out.add(word[i:])  # a longer one is known by its stems
     return out
 
 
@@ -269,7 +270,15 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: tuple[int, int] = FIT_ROWS) -> Scorer:
-    """A scorer from all texts (character model) and at most ``fit_rows`` labelled documents of each label that aren't held out."""
+    """A scorer from all texts (character model) and at most ``fit_rows`` labelled documents of each label that aren't held out.
+
+    Labels without an id, without a label or without a document teach
+    nothing; a document that has both labels teaches both, repeated labels
+    teach once, and documents that share an id are each taught by its label.
+    Null and empty texts hold no words. Without labels or documents the
+    scorer knows no feature and calls nothing toxic. Other columns of either
+    table have no effect.
+    """
     model = log_model(trigrams(docs, text_col))
     marked = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y")).where(~held_out() & F.col("doc_id").isNotNull())
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -293,7 +302,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     odds = odds - ERRORS * F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))
     found = rows.mapInArrow(count, "f binary, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     found = found.where(F.col("n1") >= LEAST_SUPPORT).withColumn("w", odds).where(F.col("w") >= LEAST_ODDS)
-    weights = {bytes(r["f"]): r["w"] for r in found.orderBy(F.desc("w"), "f").limit(FEATURES).collect()}
+    weights = {bytes(r["f"]): r["w"] for r in found.collect()}  # features of fit_rows documents at most
     return _fitted(Scorer(undominated(weights), model), rows)
 
 
@@ -336,7 +345,7 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", keep_text: bo
     Null and empty texts have the score of no feature. Rows that repeat have
     equal scores. An empty table gives no rows.
     """
-    held = docs.sparkSession.sparkContext.broadcast(scorer)  # FEATURES weights and 28 ** 3 numbers, whatever the corpus
+    held = docs.sparkSession.sparkContext.broadcast(scorer)  # features of fit_rows documents and 28 ** 3 numbers, whatever the corpus
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
