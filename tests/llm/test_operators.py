@@ -31,7 +31,7 @@ def make_docs() -> list[tuple]:
         return " ".join(rng.choice(words) for _ in range(n))
 
     base = text(120)
-    texts = [None, "", " ", "\n\n", "one", "Two words", base, base, base + " end", base.replace(" ", "  ").upper(), text(30_000), "x" * 50_000, "é" * 25 + "\n" + LINE]
+    texts = [None, "", " ", "\n\n", "one", "Two words <|endoftext|>", base, base, base + " end", base.replace(" ", "  ").upper(), text(30_000), "x" * 50_000, "é" * 25 + "\n" + LINE]
     texts += [f"{text(20)}\n  {LINE.upper() if i % 2 else LINE}\t\n{text(10)}" for i in range(12)]
     texts += [text(rng.randint(1, 200)) for _ in range(15)]
     rows = [(i, t, "en", f"s{i % 5}" if i % 7 else None, None if t is None else len(t)) for i, t in enumerate(texts)]
@@ -237,7 +237,7 @@ def test_groups_hold_about_their_size():
 # --- lines -------------------------------------------------------------------------------------
 
 
-def brute_lines(rows: list[tuple]) -> list[tuple]:
+def brute_lines(rows: list[tuple], least: int = 3) -> list[tuple]:
     def key(line: str) -> str:
         return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
 
@@ -249,7 +249,7 @@ def brute_lines(rows: list[tuple]) -> list[tuple]:
                 holders[key(line)].add(n)
     out = []
     for i, own in split:
-        kept = [x for x in own if len(holders[key(x)]) < 3 or max(split[n][0] for n in holders[key(x)]) == i or len(key(x)) < 20]
+        kept = [x for x in own if len(holders[key(x)]) < least or max(split[n][0] for n in holders[key(x)]) == i or len(key(x)) < 20]
         out.append((i, len(own), len(own) - len(kept), "\n".join(kept)))
     return out
 
@@ -262,6 +262,22 @@ def test_line_dedup(spark, docs, most):
     assert any(r["n_dropped"] for r in got) and {r["doc"]["key"] for r in got} == {"k"}
 
 
+def test_a_large_index_moves_texts_once(spark, docs, monkeypatch):
+    """Whatever the number of shards, only one frame with texts is written."""
+    written = []
+    real = lines.materialize
+    monkeypatch.setattr(lines, "materialize", lambda df: written.append(df.columns) or real(df))
+    got = lines.dedup_lines(docs, max_index_bytes=0, probes=5).collect()
+    assert Counter((r["n_lines"], r["n_dropped"], r["text"]) for r in got) == Counter(r[1:] for r in brute_lines(make_docs()))
+    assert sum("text" in columns for columns in written) == 1 and len(written) <= 4
+
+
+def test_the_count_array_decides(spark, docs):
+    for least in (1, 2, 4):
+        got = lines.dedup_lines(docs, min_documents=least).collect()
+        assert Counter((r["n_dropped"], r["text"]) for r in got) == Counter(r[2:] for r in brute_lines(make_docs(), least))
+
+
 def test_line_dedup_empty(spark, empty):
     assert lines.dedup_lines(empty).count() == 0
 
@@ -308,6 +324,51 @@ def test_chat_edits_and_regenerations(spark):
     assert got == [(1, 0, "user", "helo"), (1, 1, "assistant", "de"), (1, 3, "user", "stays"), (2, 0, "user", "new")]
 
 
+def fold(log: list[tuple]) -> dict:
+    """One conversation's messages by a plain loop over its events (turn, seq, kind, role, text)."""
+    live, known = {}, set()
+    for turn, _, kind, role, text in sorted(log, key=lambda e: e[1]):
+        if kind in ("start", "regenerate", "edit"):
+            was = live.get(turn) or ("", "")
+            live[turn] = (role or "" if kind == "start" else was[0], text or "" if kind == "edit" else "")
+            if kind != "start":
+                live = {t: m for t, m in live.items() if t <= turn}
+        elif kind == "delta" and (turn in live or turn not in known):
+            was = live.get(turn) or ("", "")
+            live[turn] = (was[0], was[1] + (text or ""))
+        known.add(turn)
+    return live
+
+
+def test_folds_of_random_logs(spark):
+    rng = random.Random(12)
+    rows, want = [], set()
+    for conv in range(150):
+        log = []
+        # roles are of a turn, as a message that is discarded and reset keeps its last start's role
+        for seq in range(rng.randint(1, 25)):
+            turn = rng.choice([0, 1, 2, 3, 1500, 3000])
+            log.append((turn, seq, rng.choice(["start", "delta", "delta", "delta", "edit", "regenerate"]), f"r{turn}", f"{seq}."))
+        started = {t for t, _, k, _, _ in log if k == "start"}
+        rng.shuffle(log)
+        rows += [(conv, t, 0, s, k, r, x) for t, s, k, r, x in log]
+        want |= {(conv, t, f"r{t}" if t in started else "", x) for t, (_, x) in fold(log).items()}
+    events = spark.createDataFrame(rows, "conv_id long, turn long, nth int, seq long, kind string, role string, text string").repartition(5)
+    assert {(r["conv_id"], r["turn"], r["role"], r["text"]) for r in chat.messages(events).collect()} == want
+
+
+def test_the_query_s_log_needs_the_fold(spark):
+    turns = spark.createDataFrame([(c, t, "assistant" if t % 2 else "user", f"text {c} {t} " * 60) for c in range(12) for t in range(6)], "conv_id long, turn long, role string, text string")
+    log = chat.as_events(turns)
+    kinds = Counter(r["kind"] for r in log.collect())
+    assert min(kinds[k] for k in ("start", "delta", "edit", "regenerate")) > 5
+    assert log.where("nth > 1000").count() > 5  # abandoned messages
+    plain = chat.messages(log.where("kind in ('start', 'delta')"))
+    want = Counter(tuple(r) for r in turns.collect())
+    assert Counter(tuple(r) for r in chat.messages(log).select("conv_id", "turn", "role", "text").collect()) == want
+    assert Counter(tuple(r) for r in plain.select("conv_id", "turn", "role", "text").collect()) != want
+
+
 # --- spans -------------------------------------------------------------------------------------
 
 ASSIGN = r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -601,9 +662,7 @@ def hugging() -> object:
     import public_tokenizers as public
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
-    return own
+    return Tokenizer.from_file(public.path("byte_bpe_50k.json"))
 
 
 def test_packing(spark, docs, empty):
@@ -641,7 +700,7 @@ def test_packing(spark, docs, empty):
 
 def test_encoder_is_the_public_vocabulary():
     tok, encode = hugging(), packing.byte_bpe_encoder()
-    for t in ["", " ", "a  b", "\n\n x\t", "Ünïcödé – “quotes” 漢字 🙂", "don't  stop\r\n12345 !!", "<|endoftext|> x", "a" * 3000]:
+    for t in ["", " ", "a  b", "\n\n x\t", "Ünïcödé – “quotes” 漢字 🙂", "don't  stop\r\n12345 !!", "<|endoftext|> x", "a<|endoftext|><|endoftext|>b  <|endoftext|>\n", "<|endoftext", "a" * 3000]:
         assert encode(t) == tok.encode(t, add_special_tokens=False).ids
 
 
