@@ -1,10 +1,13 @@
 """Secret scans: base patterns, and multipart credentials by an interval join.
 
-A credential has parts: an identifier, a secret and, often, an endpoint. Base
-findings are strong parts. Weak candidates (a login name, a bare token, a
-URL) mean little alone; within a scope (text between blank lines) each is an
-interval widened by ``REACH``, and is reported only if its interval meets
-that of a strong part of another role, or of weak parts of both other roles.
+A credential has parts: an identifier, a secret and, often, an endpoint.
+Access identifiers and assigned secrets are strong parts; a run of hex digits
+is a secret that proves nothing by itself. Weak candidates (a login name, a
+bare token, a URL) mean little alone; within a scope (text between blank
+lines) each is an interval widened by ``REACH`` that meets those of
+complementary parts, or isn't reported: an identifier needs a strong secret,
+or any secret and an endpoint; a secret needs a strong identifier, or any
+identifier and an endpoint; an endpoint needs an identifier and a secret.
 The join sorts each role's parts once and searches them, so it costs
 n log n and emits no pairs.
 
@@ -75,7 +78,10 @@ def weak(text: str, strong: list[Span]) -> list[Span]:
     return [s for s in out if not inside(s[1], s[2])]
 
 
-ROLES = {"access": 0, "part_id": 0, "assign": 1, "hex": 1, "part_secret": 1, "part_endpoint": 2}
+#: Identifiers, secrets and endpoints; strong parts are named with them.
+ID, SECRET, PLACE = range(3)
+ROLES = {"access": ID, "part_id": ID, "assign": SECRET, "hex": SECRET, "part_secret": SECRET, "part_endpoint": PLACE}
+STRONG = ("access", "assign")
 
 
 def link(text: str, strong: list[Span], candidates: list[Span], reach: int = REACH) -> list[Span]:
@@ -84,8 +90,8 @@ def link(text: str, strong: list[Span], candidates: list[Span], reach: int = REA
         return []
     borders = [m.start() for m in BLANK.finditer(text)]
     parts: dict[tuple[int, int, bool], list[tuple[int, int]]] = {}
-    for own, sure in ((strong, True), (candidates, False)):
-        for kind, a, b in own:
+    for kind, a, b in strong + candidates:
+        for sure in (False, True)[: 1 + (kind in STRONG)]:
             parts.setdefault((bisect_left(borders, a), ROLES[kind], sure), []).append((a, b))
     furthest = {}
     for key, own in parts.items():
@@ -101,9 +107,9 @@ def link(text: str, strong: list[Span], candidates: list[Span], reach: int = REA
 
     out = []
     for kind, a, b in candidates:
-        scope, others = bisect_left(borders, a), {0, 1, 2} - {ROLES[kind]}
-        sure = any(near((scope, r, True), a, b) for r in others)
-        if sure or all(near((scope, r, False), a, b) for r in others):
+        scope, role = bisect_left(borders, a), ROLES[kind]
+        others = [r for r in (ID, SECRET, PLACE) if r != role]
+        if (role != PLACE and near((scope, others[0], True), a, b)) or all(near((scope, r, False), a, b) for r in others):
             out.append((kind, a, b))
     return out
 
