@@ -1,17 +1,19 @@
 """PII: base patterns, and a semi-Markov conditional random field.
 
-The field labels whole candidate segments of up to ``MOST_TOKENS`` tokens,
-not single tokens: features look at a segment as a whole (how many digits, in
-which groups, a checksum, a domain at its end, the word before it), and
-dynamic programming over segment ends chooses boundaries and types of all
-entities jointly. Segments that no entity can be (too few digits and no sign
-of an address) have no score, so text between tokens with digits or address
+The field labels whole candidate segments of up to ``MOST_TOKENS`` tokens (or
+``MOST_DIGITS`` where each is a digit or two, as in a number that is spelled
+out), not single tokens: features look at a segment as a whole (how many
+digits, in which groups, a checksum, a domain at its end, the words around
+it), and dynamic programming over segment ends chooses boundaries and types
+of all entities jointly. Segments that no entity can be (too few digits, or
+more than a card has, and no sign of an address) have no score, so text between tokens with digits or address
 signs decomposes the problem exactly, and only windows around such tokens
 are decoded.
 
 The field is trained here, by gradient ascent on the conditional likelihood
 of windows that :func:`examples` writes (formats of each type that the base
-patterns know and ones that they do not, among other numbers). Base spans
+patterns know and ones that they do not, among other numbers, dates and
+tables of numbers). Base spans
 always stand; the field adds entities that no base span touches.
 """
 
@@ -41,10 +43,14 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 Span = tuple[str, int, int]
 
 #: Bounds of the field.
-MOST_TOKENS, EXAMPLES, EPOCHS, RATE, SHRINK = 6, 300, 8, 0.3, 1e-3
-NEED_DIGITS = 7
+MOST_TOKENS, EXAMPLES, EPOCHS, RATE, SHRINK = 6, 420, 8, 0.3, 1e-3
+#: Digits that an entity has at least, without a sign of an address, and at most (a card's).
+NEED_DIGITS, MOST_DIGITS = 7, 19
+#: Windows whose labels a worker keeps, and their longest text: some ten MB.
+KEPT_WINDOWS, KEPT_CHARS = 20_000, 200
 SIGN = re.compile(r"@|\((?:at)\)|\[(?:at)\]", re.I)
 TOKEN = re.compile(r"\S+")
+_DIGIT = re.compile("[0-9]")
 
 
 def luhn(digits: str) -> bool:
@@ -88,8 +94,8 @@ def base(text: str) -> list[Span]:
     return out
 
 
-def signs(segment: str, before: str) -> list[str]:
-    """The features of a whole segment, and of the word before it."""
+def signs(segment: str, before: str, after: str = "") -> list[str]:
+    """The features of a whole segment, and of the words before and behind it."""
     core = segment.strip(".,;:!?\"'")
     digits = re.sub(r"[^0-9]", "", core)
     letters = len(re.findall(r"[^\W\d_]", core))
@@ -113,24 +119,38 @@ def signs(segment: str, before: str) -> list[str]:
         out.append("clean edges")
     word = re.sub(r"\W", "", before).lower()
     out.append(f"after {word}" if word in CUES else "after other")
+    if not letters:
+        out += [f"{side} a number" for side, w in (("after", before), ("before", after)) if NUMBER.fullmatch(w)]
+        if len(groups) > 1:
+            out.append("equal groups" if len({len(g) for g in groups}) == 1 else "unequal groups")
+            out.append(f"groups of up to {min(max(map(len, groups)), 8)}")
     return out
 
 
 CUES = ("tel", "phone", "call", "fax", "mobile", "card", "visa", "ip", "host", "email", "mail", "order", "id", "no", "version", "isbn")
 
 
-def possible(segment: str) -> bool:
-    return sum("0" <= c <= "9" for c in segment) >= NEED_DIGITS or SIGN.search(segment) is not None or segment.count(".") >= 3
+#: A token that is a number, and one that is a digit or two of a longer number.
+NUMBER = re.compile(r"[(\[]?[+-]?[0-9][0-9.,:/-]*[)\]%.,;]?")
+FEW_DIGITS = re.compile(r"[0-9]{1,2}[.,-]?")
 
 
 def segments(tokens: list[str]) -> list[tuple[int, int, list[str]]]:
     """(first token, token after the last, features) of every candidate segment."""
     out = []
+    digits = [len(_DIGIT.findall(t)) for t in tokens]
+    signed = [SIGN.search(t) is not None for t in tokens]
+    few = [FEW_DIGITS.fullmatch(t) is not None for t in tokens]
     for i in range(len(tokens)):
-        for j in range(i + 1, min(len(tokens), i + MOST_TOKENS) + 1):
-            s = " ".join(tokens[i:j])
-            if possible(s):
-                out.append((i, j, signs(s, tokens[i - 1] if i else "")))
+        n, sign, spelled = 0, False, True
+        for j in range(i + 1, min(len(tokens), i + MOST_DIGITS) + 1):
+            n, sign, spelled = n + digits[j - 1], sign or signed[j - 1], spelled and few[j - 1]
+            if (j - i > MOST_TOKENS and not spelled) or (n > MOST_DIGITS and not sign):
+                if j - i > MOST_TOKENS or n > 4 * MOST_DIGITS:
+                    break
+                continue
+            if NEED_DIGITS <= n or sign or sum(t.count(".") for t in tokens[i:j]) >= 3:
+                out.append((i, j, signs(" ".join(tokens[i:j]), tokens[i - 1] if i else "", tokens[j] if j < len(tokens) else "")))
     return out
 
 
@@ -149,6 +169,8 @@ def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[list[str], list[tup
         body = rng.choice("3456") + num(k - 2)
         full = next(body + d for d in "0123456789" if luhn(body + d))
         sep = rng.choice(("", " ", "-", "."))
+        if k == 15 and sep:
+            return sep.join((full[:4], full[4:10], full[10:]))
         return sep.join(full[i : i + 4] for i in range(0, k, 4)) if sep else full
 
     def phone() -> str:
@@ -166,9 +188,31 @@ def examples(n: int = EXAMPLES, seed: int = 7) -> list[tuple[list[str], list[tup
     def other() -> str:
         return rng.choice((num(rng.randint(1, 12)), f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}.{num(2)}.{num(4)}", f"{num(1)}.{num(1)}.{num(2)}", f"{num(3)},{num(3)},{num(3)}", "b" + num(18) + "f", f"#{num(8)}", num(16), f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", f"{num(4)} {num(4)} {num(2)}", word() + "@", f"{num(2)}:{num(2)}:{num(2)}.{num(3)}"))
 
-    make = (email, ip, card, phone)
+    def spelled() -> str:
+        k = rng.choice((15, 16))
+        body = rng.choice("3456") + num(k - 2)
+        return rng.choice((" ", ". ", "- ")).join(next(body + d for d in "0123456789" if luhn(body + d)))
+
+    def table() -> list[str]:
+        width, most, sep = rng.randint(1, 8), rng.randint(2, 8), rng.choice(("", "", ",", ";", "."))
+        many = rng.randint(4, 14)
+        kind = rng.randrange(5)
+        if kind == 0:  # a column of one width
+            return [num(width) + sep for _ in range(many)]
+        if kind == 1:  # of any width
+            return [str(rng.randrange(10**most)) + sep for _ in range(many)]
+        if kind == 2:  # of decimals
+            return [f"{rng.randrange(10**rng.randint(1, 4))}.{num(rng.randint(1, 3))}" for _ in range(many)]
+        if kind == 3:  # of dates and times
+            return [rng.choice((f"{num(4)}-{num(2)}-{num(2)}", f"{num(2)}:{num(2)}:{num(2)}", f"{num(2)}/{num(2)}/{num(4)}")) for _ in range(many)]
+        return [rng.choice(("-", "")) + str(rng.randrange(10 ** rng.randint(1, 9))) + sep for _ in range(many)]
+
+    make = (email, ip, lambda: spelled() if rng.random() < 0.15 else card(), phone)
     out = []
-    for _ in range(n):
+    for k in range(n):
+        if k % 3 == 0:
+            out.append(([word() for _ in range(rng.randint(0, 2))] + table() + [word() for _ in range(rng.randint(0, 1))], []))
+            continue
         tokens: list[str] = []
         found = []
         for _ in range(rng.randint(2, 4)):
@@ -269,9 +313,6 @@ def windows(text: str) -> Iterator[list[re.Match]]:
         yield own + quiet[: MOST_TOKENS - 1]
 
 
-_DIGIT = re.compile("[0-9]")
-
-
 def added(text: str, known: list[Span], labelled) -> list[Span]:
     """Entities of the field that no known span touches."""
     out = []
@@ -304,7 +345,11 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         order = {k: i for i, k in enumerate(KINDS + ADDED)}
-        labelled = lru_cache(50_000)(lambda tokens: decode(tokens, weights))
+        kept = lru_cache(KEPT_WINDOWS)(lambda tokens: decode(tokens, weights))
+
+        def labelled(tokens: tuple[str, ...]) -> list[tuple[int, int, int]]:
+            return kept(tokens) if sum(map(len, tokens)) <= KEPT_CHARS else decode(tokens, weights)
+
         for batch in batches:
             spans = []
             for text in batch.column("text"):
