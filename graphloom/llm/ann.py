@@ -39,7 +39,7 @@ from graphloom.llm.vectors import classes, matrix, packed, sampled, smallest
 K = 20
 TABLES = 2
 #: Rows and queries that the hash is fitted on, about, the recall asked for there, and the share of rows that may be read.
-SAMPLE, SAMPLE_QUERIES, RECALL, SHARE = 8192, 128, 0.95, 0.25
+SAMPLE, SAMPLE_QUERIES, RECALL, SHARE = 8192, 128, 0.95, 0.15
 #: Bucket widths that are tried, in standard deviations of places.
 WIDTHS = (1.0, 1.5, 2.0)
 #: Numbers of directions that are tried: multiples of this, up to the dimension.
@@ -203,9 +203,9 @@ def _meet(data: DataFrame, asked: DataFrame, h: Hash, dim: int, k: int, bound: f
         near = 1e-5 * float(np.linalg.norm(x, axis=1).max())
         out = []
         for a in range(0, len(q), 256):
-            probed = failures(asked[a : a + 256], floors) <= bound
+            probed = (failures(asked[a : a + 256], floors) <= bound)[:, bucket]
             for i, own in enumerate(probed):
-                at = np.flatnonzero(own[bucket])
+                at = np.flatnonzero(own)
                 v = q[a + i]
                 if len(at) > k:
                     s = low[at] @ v.astype(np.float32)

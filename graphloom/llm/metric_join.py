@@ -162,14 +162,14 @@ def links(own: DataFrame, dim: int, total: int, least: float = LEAST_COSINE, gro
             for j0 in range(i0 if a == b else 0, len(right), TILE):
                 cols_ = right[j0 : j0 + TILE]
                 s = low[rows_] @ low[cols_].T
-                mask = s >= least
-                for r, c in zip(*np.nonzero(np.abs(s - np.float32(least)) < NEAR), strict=True):
-                    mask[r, c] = float((x[rows_[r]] * x[cols_[c]]).sum()) >= least
+                mask = s >= np.float32(least - NEAR)
                 same = a == b and i0 == j0
                 if same:
                     np.fill_diagonal(mask, False)
                 if not mask.any():
                     continue
+                for r, c in zip(*np.nonzero(mask & (s < np.float32(least + NEAR))), strict=True):
+                    mask[r, c] = float((x[rows_[r]] * x[cols_[c]]).sum()) >= least
                 found[rows_] += mask @ n[cols_]
                 if not same:
                     found[cols_] += mask.T @ n[rows_]

@@ -31,7 +31,17 @@ def packed(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
             flat = column.values.to_numpy(zero_copy_only=False).astype(kept)
             at, there = column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
             out, dims, norms = [], [], []
-            for a, b, ok in zip(at[:-1].tolist(), at[1:].tolist(), there.tolist(), strict=True):
+            width = int(at[1] - at[0]) if batch.num_rows else 0
+            if width and there.all() and (np.diff(at) == width).all():  # all at once
+                x = flat[at[0] : at[-1]].reshape(-1, width).astype(np.float64)
+                fine = np.isfinite(x).all(axis=1) & x.any(axis=1)
+                held = flat[at[0] : at[-1]].tobytes()
+                step = width * kept.itemsize
+                out = [held[i * step : (i + 1) * step] if ok else None for i, ok in enumerate(fine.tolist())]
+                dims = [width if ok else None for ok in fine.tolist()]
+                norms = [n if ok else None for n, ok in zip(np.linalg.norm(np.where(fine[:, None], x, 0), axis=1).tolist(), fine.tolist(), strict=True)]
+                at = at[:1]
+            for a, b, ok in zip(at[:-1].tolist(), at[1:].tolist(), there.tolist(), strict=False):
                 v = flat[a:b].astype(np.float64)
                 ok = ok and b > a and bool(np.isfinite(v).all() and v.any())
                 out.append(flat[a:b].tobytes() if ok else None)
