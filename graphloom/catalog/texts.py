@@ -119,4 +119,4 @@ def word_combinations(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, md5('List the named entities of the text, one per line.' || chr(10) || 'TEXT:' || coalesce(text, '')) AS hash FROM documents")
 def prompt_render(spark: SparkSession, d: str) -> DataFrame:
     """The prompt for the mentions of each document."""
-    return table(spark, d, "documents").select("doc_id", F.md5(prompts.list_mentions(F.col("text"))).alias("hash"))
+    return table(spark, d, "documents").select("doc_id", F.md5(prompts.render("list_mentions", F.col("text"))).alias("hash"))

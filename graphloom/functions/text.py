@@ -55,19 +55,16 @@ def lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), strip), lambda s: s != "")
 
 
-#: Stems of answers that deny a relation (fixed values, in the language of the small model's prompts).
-ABSENT, ABSENT_WHAT = "отсутств", ("связ", "отнош")
-NO, NO_WHAT = "нет", ("связ", "отнош", "информац", "данн", "сведен")
+#: What an answer that denies a relation begins with (a fixed pattern, in the language of the small model's prompts).
+DENIES = r"(?iu)^(?:[-•]\s*)?(?:отсутств[\p{L}\p{N}_]*\s+(?:связ|отнош)[\p{L}\p{N}_]*|нет\s+(?:связ|отнош|информац|данн|сведен)[\p{L}\p{N}_]*)"
 BULLET = r"^[-•]\s*"
 
 
 def relation_text(answer: Column) -> Column:
     """An answer without its bullet, or null where it is blank, a dash, or begins by denying a relation."""
     core = F.regexp_replace(strip(answer), BULLET, "")
-    word = "[\\p{L}\\p{N}_]*"
-    denies = f"(?iu)^(?:[-•]\\s*)?(?:{ABSENT}{word}\\s+(?:{'|'.join(ABSENT_WHAT)}){word}|{NO}\\s+(?:{'|'.join(NO_WHAT)}){word})"
     empty = core.rlike(r"^\s*[-–—]?\s*$")
-    return F.when(answer.isNotNull() & ~empty & ~core.rlike(denies), core)
+    return F.when(answer.isNotNull() & ~empty & ~core.rlike(DENIES), core)
 
 
 def phrases(text: Column, most_words: int = 12) -> Column:
@@ -87,6 +84,15 @@ def phrases(text: Column, most_words: int = 12) -> Column:
     return F.array_distinct(F.array_append(out, clean))
 
 
+def named_by(name: Column, text: Column) -> Column:
+    """Whether a name is a choice of a text's words in their order, or the text itself, as :func:`phrases` would list them; of texts of any length."""
+    clean = strip(F.regexp_replace(text, r"\p{Punct}", ""))
+    words = F.filter(F.split(clean, r"\s+"), lambda w: w != "")
+    own = F.split(name, " ")
+    met = F.aggregate(words, F.lit(1), lambda at, w: F.when(F.get(own, at - 1) == w, at + 1).otherwise(at))
+    return F.coalesce((name == clean) | ((met == F.size(own) + 1) & (name != "")), F.lit(False))
+
+
 def first_tokens(text: Column, most: int) -> Column:
     """The first ``most`` tokens of a text, which white space separates; empty for a null or empty text.
 

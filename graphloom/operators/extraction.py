@@ -53,10 +53,10 @@ def dangling(entities: DataFrame, relations: DataFrame) -> DataFrame:
 
 def extract(chunks: DataFrame, model: Model, validate: bool = False, language: str = "russian", entity_types: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
     """Entities and relations by one structured call per chunk, and a second one to correct it if wanted."""
-    asked = chunks.withColumn("prompt", prompts.artifact_extraction(F.col("content"), language, entity_types))
+    asked = chunks.withColumn("prompt", prompts.render("artifact_extraction", F.col("content"), language, entity_types))
     got = materialize(parsed(generate(asked, "prompt", "answer", model), "answer", EXTRACTION, "artifacts"))
     if validate:
-        again = got.withColumn("prompt", prompts.artifact_validation(F.col("answer"), F.col("content"), language)).drop("answer")
+        again = got.withColumn("prompt", prompts.render("artifact_validation", F.col("answer"), F.col("content"), language)).drop("answer")
         checked = parsed(generate(again.withColumnRenamed("artifacts", "draft"), "prompt", "answer", model), "answer", EXTRACTION, "artifacts")
         got = materialize(checked.withColumn("artifacts", F.coalesce("artifacts", "draft")))
     got = got.where("artifacts is not null")
@@ -77,15 +77,15 @@ def extract_staged(chunks: DataFrame, model: Model) -> tuple[DataFrame, DataFram
     Each stage's answers are written before the next one, so that nothing is
     asked twice.
     """
-    listed = materialize(generate(chunks.select(F.col("id").alias("chunk_id"), "doc_id", "content").withColumn("prompt", prompts.list_mentions(F.col("content"))), "prompt", "answer", model))
+    listed = materialize(generate(chunks.select(F.col("id").alias("chunk_id"), "doc_id", "content").withColumn("prompt", prompts.render("list_mentions", F.col("content"))), "prompt", "answer", model))
     each = listed.select("chunk_id", "doc_id", "content", F.posexplode(X.lines(F.col("answer"))).alias("pos", "mention"))
-    normal = materialize(generate(each.withColumn("prompt", prompts.normalise(F.col("mention"), F.col("content"))), "prompt", "name", model))
+    normal = materialize(generate(each.withColumn("prompt", prompts.render("normalise", F.col("mention"), F.col("content"))), "prompt", "name", model))
     normal = normal.withColumn("name", X.strip(F.coalesce("name", F.lit("")))).where("name <> ''").drop("prompt")
-    told = materialize(generate(normal.withColumn("prompt", prompts.describe(F.col("name"), F.col("content"))), "prompt", "description", model))
+    told = materialize(generate(normal.withColumn("prompt", prompts.render("describe", F.col("name"), F.col("content"))), "prompt", "description", model))
     told = told.withColumn("description", F.coalesce(X.strip(F.col("description")), F.lit(""))).withColumn("entity_type", F.lit(UNKNOWN_TYPE))
     told = told.withColumn("id", entity_id(F.col("name"), F.col("entity_type")))
     pairs = ordered_pairs(told).join(told.select("chunk_id", "content").distinct(), "chunk_id")
-    asked = pairs.withColumn("prompt", prompts.relate(F.col("subject_name"), F.col("object_name"), F.col("content")))
+    asked = pairs.withColumn("prompt", prompts.render("relate", F.col("subject_name"), F.col("object_name"), F.col("content")))
     said = materialize(generate(asked, "prompt", "answer", model)).withColumn("description", X.relation_text(F.col("answer"))).where("description is not null")
     relations = said.select("chunk_id", "subject_id", "object_id", "subject_name", "object_name", "description", F.lit(1.0).alias("relation_strength"), relation_id(F.col("subject_id"), F.col("object_id")).alias("id"))
     entities = told.select("id", F.col("name").alias("entity_name"), "entity_type", "description", "chunk_id", "doc_id", "pos")

@@ -62,10 +62,12 @@ def summarised(grouped: DataFrame, prompt: Column, model: Model | None, strict:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
-    """Whole records by key, new ones over old ones; of new ones with one key, the last by ``order``."""
+    """Whole records by key, new ones over old ones; of new ones with one key, the last by ``order``, and of equal ones always the same."""
     rank = F.col(order) if order else F.lit(0)
-    rows = old.withColumn("_r", F.lit(-1).cast("long")).unionByName(new.withColumn("_r", rank.cast("long")), allowMissingColumns=True)
-    nth = F.row_number().over(W.partitionBy(key).orderBy(F.desc("_r")))
+    rows = old.withColumn("_r", F.struct(F.lit(0).alias("new"), F.lit(None).cast("long").alias("at")))
+    rows = rows.unionByName(new.withColumn("_r", F.struct(F.lit(1).alias("new"), rank.cast("long").alias("at"))), allowMissingColumns=True)
+    names = [c for c in rows.columns if c != "_r"]
+    nth = F.row_number().over(W.partitionBy(key).orderBy(F.desc("_r"), F.xxhash64(*[F.col(f"`{c}`") for c in names])))
     return rows.withColumn("_n", nth).where("_n = 1").drop("_n", "_r")
 
 
@@ -107,6 +109,6 @@ def describe_clusters(grouped: DataFrame, embedder, model: Model, more_than: int
     each = many.select("id", F.posexplode("descriptions").alias("pos", "text"))
     vectors = materialize(embed(each, "text", "vector", embedder))
     joined = density_clusters(vectors, eps).groupBy("id", "cluster").agg(F.array_join(_ordered("text"), "\n").alias("text"), F.min("pos").alias("pos"))
-    told = materialize(generate(joined.withColumn("prompt", prompts.summarise_cluster(F.col("text"))), "prompt", "answer", model))
+    told = materialize(generate(joined.withColumn("prompt", prompts.render("cluster_summarize", F.col("text"))), "prompt", "answer", model))
     text = told.withColumn("said", F.coalesce("answer", "text")).groupBy("id").agg(F.array_join(_ordered("said"), ". ").alias("clustered"))
     return grouped.join(text, "id", "left").withColumn("description", F.coalesce("clustered", "description")).drop("clustered")

@@ -36,7 +36,7 @@ def refine(texts: DataFrame, entity_vectors: DataFrame, relation_vectors: DataFr
     spark = texts.sparkSession
     if model is None:
         return spark.createDataFrame([], "doc_id string, pos int, subject string, relation string, object string, validity boolean")
-    asked = texts.where("trim(text) <> ''").withColumn("prompt", prompts.triplets(F.col("text")))
+    asked = texts.where("trim(text) <> ''").withColumn("prompt", prompts.render("triplets", F.col("text")))
     raw = materialize(parsed(generate(asked, "prompt", "answer", model), "answer", TRIPLETS, "t").select("doc_id", F.posexplode("t").alias("pos", "t")).select("doc_id", "pos", "t.*"))
     ends = raw.select(F.explode(F.array("subject", "object")).alias("term")).where("term is not null")
     found = _found(ends, entity_vectors, vertices.select("id", F.col("entity_name").alias("name"), F.col("entity_type").alias("kind")), embedder, k)
@@ -50,7 +50,7 @@ def refine(texts: DataFrame, entity_vectors: DataFrame, relation_vectors: DataFr
         out = out.join(best.select(F.col("term").alias(c), F.col("kind").alias(f"{c}_type")), c, "left")
     known = F.to_json(F.struct("subject_candidates", "relation_candidates", "object_candidates"))
     own = F.to_json(F.struct("subject", "relation", "object"))
-    picked = parsed(generate(out.withColumn("prompt", prompts.pick_triplet(own, known)), "prompt", "answer", model), "answer", TRIPLETS, "new")
+    picked = parsed(generate(out.withColumn("prompt", prompts.render("pick_triplet", own, known)), "prompt", "answer", model), "answer", TRIPLETS, "new")
     new = F.get("new", F.lit(0))
     for c in ("subject", "relation", "object"):
         picked = picked.withColumn(c, F.coalesce(new[c], F.col(c)))

@@ -4,15 +4,23 @@ A provider is a small picklable object; it is set up once per Python worker.
 Rows carry their inputs through a call, so an answer can never meet another
 row's input. Callers write what a model returned before using it twice:
 Spark may run a task again, and a call is never free.
+
+A worker keeps up to ``in_flight`` calls going, in threads. A gate spaces
+them out over one-second and one-minute windows; as it can't be shared by
+machines, each partition gets its part of the quota. A failed call is logged,
+leaves a null and, if a column is asked for, its error.
 """
 
 from __future__ import annotations
 
 import json
+import logging
 import re
+import threading
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, is_dataclass, replace
 from typing import Protocol
 
 import numpy as np
@@ -22,6 +30,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from graphloom.operators.chunking import hashed_embedding
 
 
+log = logging.getLogger("graphloom")
+
+
 class Model(Protocol):
     """One answer, as text, or None for each prompt."""
 
@@ -48,7 +59,11 @@ class RateGate:
     per_minute: float | None = None
     clock: Callable[[], float] = time.monotonic
     sleep: Callable[[float], None] = time.sleep
-    _calls: list[float] = field(default_factory=list)
+    _next: float | None = None
+    _lock: threading.Lock | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_lock": None}
 
     def share(self, partitions: int) -> RateGate:
         """The gate of one of so many partitions."""
@@ -58,18 +73,30 @@ class RateGate:
         return RateGate(part(self.per_second), part(self.per_minute), self.clock, self.sleep)
 
     def wait(self) -> None:
-        """Returns when another call may start."""
+        """Returns when another call may start; threads queue."""
         gap = max([0.0, *(w / q for w, q in ((1.0, self.per_second), (60.0, self.per_minute)) if q)])
-        now = self.clock()
-        if self._calls and now < self._calls[-1] + gap:
-            self.sleep(self._calls[-1] + gap - now)
-            now = self._calls[-1] + gap
-        self._calls = [now]
+        self._lock = self._lock or threading.Lock()
+        with self._lock:
+            now = self.clock()
+            if self._next is not None and now < self._next:
+                self.sleep(self._next - now)
+                now = self._next
+            self._next = now + gap
+
+
+def shared(provider, partitions: int):
+    """A provider whose gate, or whose inner provider's, has one partition's part of the quota."""
+    if not is_dataclass(provider):
+        return provider
+    changes = {"gate": provider.gate.share(partitions)} if isinstance(getattr(provider, "gate", None), RateGate) else {}
+    if callable(getattr(provider, "model", None)):
+        changes["model"] = shared(provider.model, partitions)
+    return replace(provider, **changes) if changes else provider
 
 
 @dataclass
 class Retrying:
-    """A model that tries failed calls again, doubling the pause from ``first`` to ``last`` seconds."""
+    """A model that tries failed calls again, doubling the pause from ``first`` to ``last`` seconds; the last failure is raised."""
 
     model: Model
     tries: int = 3
@@ -81,15 +108,25 @@ class Retrying:
         for k in range(self.tries):
             try:
                 return self.model(prompts)
-            except Exception:
-                if k + 1 < self.tries:
-                    self.sleep(min(self.last, self.first * 2**k))
+            except Exception as e:
+                log.warning("call failed (%d of %d): %s", k + 1, self.tries, e)
+                if k + 1 == self.tries:
+                    raise
+                self.sleep(min(self.last, self.first * 2**k))
         return [None] * len(prompts)
 
 
+def _post(url: str, key: str, body: dict, timeout: float) -> dict:
+    from urllib.request import Request, urlopen
+
+    head = {"Content-Type": "application/json", "Authorization": f"Bearer {key}"}
+    with urlopen(Request(url, json.dumps(body).encode(), head), timeout=timeout) as r:
+        return json.load(r)
+
+
 @dataclass
 class HttpModel:
-    """A chat model behind an OpenAI-compatible endpoint; one request per prompt."""
+    """A chat model behind an OpenAI-compatible endpoint; one request per prompt, and an exception where one fails."""
 
     url: str
     model: str
@@ -99,25 +136,18 @@ class HttpModel:
     gate: RateGate = field(default_factory=lambda: RateGate(1, 60))
 
     def __call__(self, prompts: list[str]) -> list[str | None]:
-        from urllib.request import Request, urlopen
-
         out: list[str | None] = []
         for p in prompts:
             self.gate.wait()
             turns = [{"role": "system", "content": self.system}] * bool(self.system) + [{"role": "user", "content": p}]
-            body = json.dumps({"model": self.model, "messages": turns, "temperature": 0}).encode()
-            head = {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"}
-            try:
-                with urlopen(Request(f"{self.url.rstrip('/')}/chat/completions", body, head), timeout=self.timeout) as r:
-                    out.append(json.load(r)["choices"][0]["message"]["content"])
-            except Exception:
-                out.append(None)
+            got = _post(f"{self.url.rstrip('/')}/chat/completions", self.key, {"model": self.model, "messages": turns, "temperature": 0}, self.timeout)
+            out.append(got["choices"][0]["message"]["content"])
         return out
 
 
 @dataclass
 class HttpEmbedder:
-    """An embedder behind an OpenAI-compatible endpoint."""
+    """An embedder behind an OpenAI-compatible endpoint; a text per request unless ``batched``."""
 
     url: str
     model: str
@@ -125,15 +155,120 @@ class HttpEmbedder:
     key: str = ""
     timeout: float = 60.0
     gate: RateGate = field(default_factory=lambda: RateGate(1, 60))
+    batched: bool = False
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        out: list = []
+        for own in [texts] if self.batched else [[t] for t in texts]:
+            self.gate.wait()
+            got = _post(f"{self.url.rstrip('/')}/embeddings", self.key, {"model": self.model, "input": own}, self.timeout)
+            out += [d["embedding"] for d in sorted(got["data"], key=lambda d: d.get("index", 0))]
+        return np.array(out)
+
+
+@dataclass
+class LocalEmbedder:
+    """A sentence-embedding model on the worker: ``name`` for the library of that kind, if it is installed there."""
+
+    name: str
+    dim: int
+    batch: int = 16
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        try:
+            from sentence_transformers import SentenceTransformer
+        except ImportError as e:
+            raise RuntimeError("LocalEmbedder needs sentence-transformers on the workers") from e
+        if not hasattr(self, "_model"):
+            self._model = SentenceTransformer(self.name)
+        return self._model.encode(texts, batch_size=self.batch)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_model"}
+
+
+@dataclass
+class OnnxEmbedder:
+    """A sentence-embedding model in ONNX form with its tokenizer file: the mean of the last hidden states, of unit length."""
+
+    model: str
+    tokenizer: str
+    dim: int
+    most_tokens: int = 512
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        from urllib.request import Request, urlopen
+        import onnxruntime
+        from tokenizers import Tokenizer as Own
+
+        if not hasattr(self, "_run"):
+            self._run, self._tok = onnxruntime.InferenceSession(self.model), Own.from_file(self.tokenizer)
+            self._tok.enable_truncation(self.most_tokens)
+            self._tok.enable_padding()
+        got = self._tok.encode_batch(texts)
+        given = {"input_ids": np.array([e.ids for e in got]), "attention_mask": np.array([e.attention_mask for e in got]), "token_type_ids": np.array([e.type_ids for e in got])}
+        names = {i.name for i in self._run.get_inputs()}
+        hidden = self._run.run(None, {k: v for k, v in given.items() if k in names})[0]
+        mask = given["attention_mask"][:, :, None]
+        mean = (hidden * mask).sum(axis=1) / np.maximum(1, mask.sum(axis=1))
+        return mean / np.maximum(1e-12, np.linalg.norm(mean, axis=1, keepdims=True))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("_run", "_tok")}
+
+
+@dataclass
+class TiktokenTokenizer:
+    """Tokens of an encoding of the tiktoken library, by name, or of a file of base64 tokens and ranks with its pattern."""
+
+    name: str = "cl100k_base"
+    ranks: str | None = None
+    pattern: str = ""
+
+    def _own(self):
+        import base64
+
+        import tiktoken
+
+        if not hasattr(self, "_encoding"):
+            if self.ranks is None:
+                self._encoding = tiktoken.get_encoding(self.name)
+            else:
+                with open(self.ranks, "rb") as f:
+                    held = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+                self._encoding = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=held, special_tokens={})
+        return self._encoding
+
+    def encode(self, text: str) -> list[int]:
+        return self._own().encode_ordinary(text)
+
+    def decode(self, ids: list[int]) -> str:
+        return self._own().decode(ids)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_encoding"}
+
+
+@dataclass
+class FileTokenizer:
+    """Tokens of a tokenizer file of the tokenizers library."""
+
+    path: str
+
+    def _own(self):
+        from tokenizers import Tokenizer as Own
+
+        if not hasattr(self, "_tok"):
+            self._tok = Own.from_file(self.path)
+        return self._tok
+
+    def encode(self, text: str) -> list[int]:
+        return self._own().encode(text, add_special_tokens=False).ids
+
+    def decode(self, ids: list[int]) -> str:
+        return self._own().decode(ids)
 
-        self.gate.wait()
-        head = {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"}
-        body = json.dumps({"model": self.model, "input": texts}).encode()
-        with urlopen(Request(f"{self.url.rstrip('/')}/embeddings", body, head), timeout=self.timeout) as r:
-            return np.array([d["embedding"] for d in json.load(r)["data"]])
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_tok"}
 
 
 @dataclass
@@ -162,23 +297,53 @@ class RuleModel:
         return out
 
 
-def generate(rows: DataFrame, prompt: str, answer: str, model: Model, batch: int = 16) -> DataFrame:
-    """``rows`` with the model's answer to the prompt column; null for a null prompt or a failed call."""
-    schema = T.StructType([*rows.schema.fields, T.StructField(answer, T.StringType())])
+def _called(provider, inputs: list, batch: int, in_flight: int) -> tuple[list, list]:
+    """Results and errors of a provider over inputs (None: not asked); a batch that fails is tried again one by one."""
+    out: list = [None] * len(inputs)
+    errors: list = [None] * len(inputs)
+    asked = [i for i, x in enumerate(inputs) if x is not None]
+
+    def some(at: list[int]) -> None:
+        try:
+            for i, x in zip(at, provider([inputs[i] for i in at]), strict=True):
+                out[i] = x
+        except Exception as e:
+            if len(at) > 1:
+                for i in at:
+                    some([i])
+            else:
+                errors[at[0]] = f"{type(e).__name__}: {e}"
+                log.warning("no answer: %s", errors[at[0]])
+
+    parts = [asked[a : a + batch] for a in range(0, len(asked), batch)]
+    if in_flight > 1 and len(parts) > 1:
+        with ThreadPoolExecutor(in_flight) as pool:
+            list(pool.map(some, parts))
+    else:
+        for at in parts:
+            some(at)
+    return out, errors
+
+
+def generate(rows: DataFrame, prompt: str, answer: str, model: Model, batch: int = 1, in_flight: int = 8, error: str | None = None, partitions: int | None = None) -> DataFrame:
+    """``rows`` with the model's answer to the prompt column; null for a null prompt or a failed call, whose reason is in ``error``, if wanted.
+
+    Up to ``in_flight`` calls of ``batch`` prompts run at once in a worker.
+    Where the model has a gate, rows are dealt into ``partitions`` (the
+    session's parallelism by default), each with its part of the quota.
+    """
+    if partitions is None and shared(model, 1) is not model:
+        partitions = rows.sparkSession.sparkContext.defaultParallelism
+    if partitions is not None:
+        rows, model = rows.repartition(partitions), shared(model, partitions)
+    schema = T.StructType([*rows.schema.fields, T.StructField(answer, T.StringType()), *([T.StructField(error, T.StringType())] if error else [])])
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for own in batches:
-            out: list[str | None] = [None] * len(own)
-            asked = [i for i, p in enumerate(own[prompt]) if p is not None]
-            for a in range(0, len(asked), batch):
-                at = asked[a : a + batch]
-                try:
-                    got = model([own[prompt].iloc[i] for i in at])
-                except Exception:
-                    got = [None] * len(at)
-                for i, x in zip(at, got, strict=True):
-                    out[i] = x
-            own[answer] = out
+            got, errors = _called(model, own[prompt].tolist(), batch, in_flight)
+            own[answer] = got
+            if error:
+                own[error] = errors
             yield own
 
     return rows.mapInPandas(call, schema)
@@ -199,22 +364,18 @@ def parsed(rows: DataFrame, answer: str, schema: T.DataType, into: str) -> DataF
     return rows.withColumn(into, F.from_json(answer, schema))
 
 
-def embed(rows: DataFrame, text: str, vector: str, embedder: Embedder, batch: int = 16) -> DataFrame:
-    """``rows`` with the vector of the text column; null for null texts and failed calls."""
+def embed(rows: DataFrame, text: str, vector: str, embedder: Embedder, batch: int = 16, in_flight: int = 8, partitions: int | None = None) -> DataFrame:
+    """``rows`` with the vector of the text column; null for null texts and failed calls (of a batch that fails, only for the texts that do)."""
+    if partitions is None and shared(embedder, 1) is not embedder:
+        partitions = rows.sparkSession.sparkContext.defaultParallelism
+    if partitions is not None:
+        rows, embedder = rows.repartition(partitions), shared(embedder, partitions)
     schema = T.StructType([*rows.schema.fields, T.StructField(vector, T.ArrayType(T.FloatType()))])
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for own in batches:
-            out: list[list[float] | None] = [None] * len(own)
-            asked = [i for i, t in enumerate(own[text]) if t is not None]
-            for a in range(0, len(asked), batch):
-                at = asked[a : a + batch]
-                try:
-                    for i, v in zip(at, embedder([own[text].iloc[i] for i in at]), strict=True):
-                        out[i] = [float(x) for x in v]
-                except Exception:
-                    continue
-            own[vector] = out
+            got, _ = _called(embedder, own[text].tolist(), batch, in_flight)
+            own[vector] = [None if v is None else [float(x) for x in v] for v in got]
             yield own
 
     return rows.mapInPandas(call, schema)

@@ -1,21 +1,15 @@
-"""Settings of an engine: where it works, and its model endpoint."""
+"""Settings of an engine: its model endpoint."""
 
 from __future__ import annotations
 
 import os
 from dataclasses import dataclass
-from datetime import datetime
 from pathlib import Path
 
 
-def working_folder(given: str | None = None) -> str:
-    """The given folder, else ``./graphloom_working_dir/<time>``."""
-    return given or f"./graphloom_working_dir/{datetime.now():%Y-%m-%d_%H-%M-%S}"
-
-
 @dataclass(frozen=True)
 class Endpoint:
-    """A model endpoint, from the environment or from a file of ``NAME=value`` lines."""
+    """A model endpoint, from the environment or from a file of ``NAME=value`` lines (names of variables are fixed)."""
 
     model: str = ""
     url: str = ""
