@@ -11,21 +11,12 @@ from graphloom.operators import merging
 from graphloom.operators.graph import incident_edges, neighbours, remove_edges, remove_nodes
 from graphloom.operators.keyed import get_by_id, get_by_ids, upsert
 from graphloom.operators.similarity import similar_relations, similar_to, top_k
+from graphloom.plans.build import entity_texts, relation_texts
 from graphloom.plans.lineage import materialize
 from graphloom.providers import Embedder, embed
 from graphloom.sources.store import GraphStore
 
 
-def entity_texts(entities: DataFrame) -> DataFrame:
-    """``id, content`` of the entities' vectors."""
-    return entities.select("id", F.concat_ws(" - ", "entity_name", "description").alias("content"))
-
-
-def relation_texts(relations: DataFrame) -> DataFrame:
-    """``id, content, subject, object`` of the relations' vectors."""
-    return relations.select("id", F.col("description").alias("content"), F.col("subject_id").alias("subject"), F.col("object_id").alias("object"))
-
-
 def upsert_vectors(old: DataFrame, texts: DataFrame, embedder: Embedder, batch: int = 16) -> DataFrame:
     """Vectors with those of new texts in the place of old ones of the same id."""
     return upsert(old, materialize(embed(texts, "content", "vector", embedder, batch)))
@@ -130,10 +121,10 @@ class Records:
 
     def similar_entities(self, own: str, k: int = 5) -> DataFrame:
         """The entities most like a stored one."""
-        return similar_to(self.store.load("entity_vectors"), own, self._vector("entity_vectors", own), self.store.load("entities"), k)
+        return similar_to(self.store.load("entity_vectors"), own, self._vector("entity_vectors", own), self.store.load("entities"), k, self._embedded(entity_texts, "entities"))
 
     def similar_relations(self, own: str, k: int = 5) -> DataFrame:
-        return similar_relations(self.store.load("relation_vectors"), own, self._vector("relation_vectors", own), self.store.load("relations"), k)
+        return similar_relations(self.store.load("relation_vectors"), own, self._vector("relation_vectors", own), self.store.load("relations"), k, self._embedded(relation_texts, "relations"))
 
     def entities_like(self, text: str, k: int = 5) -> DataFrame:
         """The entities of the vectors nearest to a text."""
@@ -144,7 +135,15 @@ class Records:
         probe = [float(x) for x in self.embedder([text])[0]]
         return similar_relations(self.store.load("relation_vectors"), "", probe, self.store.load("relations"), k)
 
+    def _embedded(self, texts, name: str) -> DataFrame | None:
+        """Vectors of all records, made for a search that the stored ones give nothing to."""
+        return None if self.embedder is None else embed(texts(self.store.load(name)), "content", "vector", self.embedder)
+
     def _vector(self, name: str, own: str) -> list[float]:
+        """The stored vector of a record, else that of its text."""
         row = self.store.load(name).where(F.col("id") == own).select("vector").first()
+        if row and row["vector"] is not None:
+            return list(row["vector"])
+        made = self._embedded(*((entity_texts, "entities") if name == "entity_vectors" else (relation_texts, "relations")))
+        row = None if made is None else made.where(F.col("id") == own).first()
         return list(row["vector"]) if row and row["vector"] is not None else []
-

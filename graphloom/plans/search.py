@@ -108,7 +108,7 @@ class LocalSearch:
         found = self.search(query, k)
         context = local_context(found["entities"], found["relations"], found["chunks"])
         context = context.withColumn("context", X.first_tokens(F.col("context"), self.most_tokens))
-        asked = context.withColumn("prompt", prompts.local_answer(F.lit(query), F.col("context"), self.language))
+        asked = context.withColumn("prompt", prompts.render("local_search", F.lit(query), F.col("context"), self.language))
         got = parsed(generate(asked, "prompt", "answer", self.model), "answer", ANSWER, "parsed")
         return got.select("context", F.coalesce("parsed.response", "answer").alias("response"))
 
@@ -132,15 +132,16 @@ class GlobalSearch:
         self.graph, self.model, self.most_tokens, self.language = graph, model, most_tokens, language
 
     def search(self, query: str) -> DataFrame:
-        rows = self.graph.summaries.withColumn("prompt", prompts.global_context(F.lit(query), F.col("summary"), self.language))
+        rows = self.graph.summaries.withColumn("prompt", prompts.render("global_search_context", F.lit(query), F.col("summary"), self.language))
         got = materialize(parsed(generate(rows, "prompt", "answer", self.model), "answer", INSIGHT, "insight"))
         valid = got.where("insight is not null and (insight.rating is null or insight.rating between 0 and 10)")
         return ranked_insights(valid.select(F.col("id").alias("pos"), "insight.*"))
 
     def query(self, query: str) -> DataFrame:
         """One row: ``context, response``."""
-        context = insight_context(self.search(query)).select(X.first_tokens(F.col("text"), self.most_tokens).alias("context"))
-        asked = context.withColumn("prompt", prompts.global_answer(F.lit(query), F.col("context"), self.language))
+        # each insight has a token at least, so no more than so many can be in the context
+        context = insight_context(self.search(query).where(F.col("rank") <= self.most_tokens)).select(X.first_tokens(F.col("text"), self.most_tokens).alias("context"))
+        asked = context.withColumn("prompt", prompts.render("global_search", F.lit(query), F.col("context"), self.language))
         got = parsed(generate(asked, "prompt", "answer", self.model), "answer", ANSWER, "parsed")
         return got.select("context", F.coalesce("parsed.response", "answer").alias("response"))
 
@@ -153,8 +154,7 @@ class BreadthFirstSearch:
 
     def seeds(self, query: str) -> DataFrame:
         """``id`` of the entities whose names are phrases of the query."""
-        asked = self.graph.vertices.sparkSession.range(1).select(F.explode(X.phrases(F.lit(query))).alias("entity_name")).distinct()
-        return self.graph.vertices.join(F.broadcast(asked), "entity_name", "left_semi").select("id").distinct()
+        return self.graph.vertices.where(X.named_by(F.col("entity_name"), F.lit(query))).select("id").distinct()
 
     def search(self, query: str, depth: int = 2) -> tuple[DataFrame, DataFrame]:
         nodes = bfs(self.seeds(query), self.graph.edges, depth)
@@ -166,6 +166,6 @@ class BreadthFirstSearch:
         a = _lines(nodes, F.concat_ws(", ", _or_empty("entity_name"), _or_empty("entity_type"), _or_empty("description")), [F.col("distance"), F.col("id")])
         b = _lines(edges, F.concat_ws(" -> ", "src", "dst"), [F.col("src"), F.col("dst")]).withColumnRenamed("text", "links")
         context = a.join(b).select(F.concat("text", F.lit("\n\n"), "links").alias("context"))
-        asked = context.withColumn("prompt", prompts.local_answer(F.lit(query), F.col("context"), self.language))
+        asked = context.withColumn("prompt", prompts.render("local_search", F.lit(query), F.col("context"), self.language))
         got = generate(asked, "prompt", "answer", self.model)
         return got.select("context", F.col("answer").alias("response"))

@@ -12,11 +12,11 @@ from graphloom.plans.build import KnowledgeGraph
 
 
 def grow(documents: DataFrame, graph: KnowledgeGraph, checkpoint: str) -> StreamingQuery:
-    """Adds each micro-batch of a stream of documents (``text``) to a graph; a batch is one snapshot."""
+    """Adds each micro-batch of a stream of documents (``text``) to a graph; a batch is one snapshot, and one that is replayed adds nothing."""
 
-    def add(batch: DataFrame, _: int) -> None:
+    def add(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            graph.build(batch)
+            graph.build(batch, f"{checkpoint}#{number}")
 
     return documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
