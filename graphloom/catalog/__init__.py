@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.catalog import extraction, graphs, merging, retrieval, texts, vectors  # noqa: F401  they register their queries
+from graphloom.catalog import extraction, graphs, merging, retrieval, stored, texts, vectors  # noqa: F401  they register their queries
 from graphloom.catalog.registry import QUERIES, SQL, Query
 
 

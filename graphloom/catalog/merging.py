@@ -32,10 +32,26 @@ def entity_group(spark: SparkSession, d: str) -> DataFrame:
     return _grouped(merging.group_entities(_mentions(spark, d)))
 
 
-@query(f"SELECT * FROM ({GROUPED}) WHERE duplicate_count <= 1")
+STRICT = """SELECT 'balance ' || floor(c_acctbal)::BIGINT AS entity_name, c_mktsegment AS entity_type, count(*) AS duplicate_count, min(c_name) AS description FROM customer
+GROUP BY 1, 2 HAVING count(*) = 1"""
+
+
+@query(STRICT)
 def entity_group_strict(spark: SparkSession, d: str) -> DataFrame:
-    """The same without a model and strictly: what occurs more than once is dropped."""
-    return _grouped(merging.summarised(merging.group_entities(_mentions(spark, d)), F.lit(""), None, strict=True))
+    """Customers by segment and whole balance, without a model and strictly: what occurs more than once is dropped."""
+    name = F.concat(F.lit("balance "), F.floor("c_acctbal").cast("long"))
+    rows = table(spark, d, "customer").select(name.alias("entity_name"), F.col("c_mktsegment").alias("entity_type"), F.col("c_name").alias("description"), F.col("c_custkey").alias("pos"), F.array("c_name").alias("source_chunk_id"), F.array("c_name").alias("documents_id"))
+    return merging.summarised(merging.group_entities(rows), F.lit(""), None, strict=True).select("entity_name", "entity_type", "duplicate_count", "description")
+
+
+@query("""SELECT c_mktsegment AS entity_type, count(*) AS duplicate_count, 'merged ' || count(*) AS description FROM customer GROUP BY 1 HAVING count(*) > 1
+UNION ALL SELECT c_mktsegment, count(*), min(c_name) FROM customer GROUP BY 1 HAVING count(*) = 1""")
+def entity_group_model(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as descriptions of their segment, which a model (here one that counts them) makes one."""
+    rows = table(spark, d, "customer").select(F.lit("segment").alias("entity_name"), F.col("c_mktsegment").alias("entity_type"), F.regexp_replace("c_name", r"\\.", "").alias("description"), F.col("c_custkey").alias("pos"), F.array("c_name").alias("source_chunk_id"), F.array("c_name").alias("documents_id"))
+    prompt = F.concat(F.lit("Merge:"), "description")
+    told = merging.summarised(merging.group_entities(rows), prompt, lambda ps: [f"merged {p.count('. ') + 1}" for p in ps])
+    return told.select("entity_type", "duplicate_count", "description")
 
 
 #: Order lines as relations of customers with suppliers.
@@ -92,10 +108,11 @@ def kv_upsert(spark: SparkSession, d: str) -> DataFrame:
     return keyed.upsert(old, new, "id", "at").select("id", "value")
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)")
 def kv_missing_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Customers that no order has."""
-    return keyed.missing_keys(table(spark, d, "orders").select(F.col("o_custkey").alias("id")), table(spark, d, "customer").select(F.col("c_custkey").alias("id")))
+    """Parts that nobody bought fifty of, each asked for twice."""
+    asked = table(spark, d, "part").select(F.col("p_partkey").alias("id"))
+    return keyed.missing_keys(table(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("id")), asked.unionByName(asked))
 
 
 @query("SELECT o_orderkey AS pos, o_custkey AS id, c_name, c_acctbal FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
