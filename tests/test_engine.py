@@ -4,7 +4,13 @@ from __future__ import annotations
 
 import json
 import random
+import shutil
+import threading
+import time
 from collections import Counter
+from dataclasses import dataclass
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -16,9 +22,9 @@ from graphloom.operators import chunking, communities, extraction, graph, mergin
 from graphloom.operators.clustering import cluster_of
 from graphloom.operators.components import connected_components
 from graphloom.plans import build, search, triplets
-from graphloom.providers import HashEmbedder, RateGate, Retrying, RuleModel, embed, generate, statistics, truncate
+from graphloom.providers import FileTokenizer, HashEmbedder, HttpEmbedder, HttpModel, RateGate, Retrying, RuleModel, TiktokenTokenizer, embed, generate, shared, statistics, truncate
 from graphloom.plans.records import Records
-from graphloom.settings import Endpoint, working_folder
+from graphloom.settings import Endpoint
 from graphloom.sources.store import GraphStore, read_gml, write_gml
 from graphloom.sources.text_files import read_texts
 
@@ -342,7 +348,207 @@ def test_settings(tmp_path):
     (tmp_path / ".env").write_text('# x\nLLM_MODEL_NAME="m"\nexport LLM_BASE_URL=http://h\n')
     own = Endpoint.load(str(tmp_path / ".env"))
     assert (own.model, own.url) == ("m", "http://h")
-    assert working_folder("w") == "w" and working_folder().startswith("./graphloom_working_dir/")
+
+
+@dataclass
+class Counting:
+    """A model and an embedder that write down what they are asked."""
+
+    folder: str
+    dim: int = 16
+
+    def _note(self, kind: str, inputs: list[str]) -> None:
+        for x in inputs:
+            with open(f"{self.folder}/{kind}", "a") as f:
+                f.write(json.dumps(x) + "\n")
+
+    def __call__(self, inputs: list[str]):
+        if any("rating from 0 to 10 and why" in p for p in inputs):
+            self._note("reports", inputs)
+        return Model()(inputs)
+
+    def embed(self, texts: list[str]):
+        self._note("texts", texts)
+        return HashEmbedder(self.dim)(texts)
+
+    def asked(self, kind: str) -> list[str]:
+        path = Path(f"{self.folder}/{kind}")
+        out = [json.loads(x) for x in path.read_text().splitlines()] if path.exists() else []
+        path.unlink(missing_ok=True)
+        return out
+
+
+@dataclass
+class CountingEmbedder:
+    own: Counting
+    dim: int = 16
+
+    def __call__(self, texts: list[str]):
+        return self.own.embed(texts)
+
+
+def test_a_second_build_asks_only_for_what_is_new(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    own = Counting(str(tmp_path / "calls"))
+    store = GraphStore(spark, str(tmp_path / "store"))
+    kg = build.KnowledgeGraph(build.Builder(own, lambda d: chunking.pack_chunks(d, 80), embedder=CountingEmbedder(own)), store)
+    kg.build(spark.createDataFrame([("Alice meets Robert.",), ("Clara writes to Dieter.",), ("Egon sees Frieda.",)], "text string"), "b1")
+    texts, reports = own.asked("texts"), own.asked("reports")
+    assert len(texts) == 9 and len(reports) == 3
+    kg.build(spark.createDataFrame([("Robert calls Gustav.",)], "text string"), "b2")
+    texts, reports = own.asked("texts"), own.asked("reports")
+    assert sorted({t.split(" ")[0] for t in texts}) == ["Gustav", "Robert"] and len(texts) == 3  # two entities, one relation
+    assert len(reports) == 1 and "Gustav" in reports[0]
+    assert store.load("community_summaries").count() == store.load("communities").count() == 3
+    assert store.load("entity_vectors").where("vector is not null").count() == store.load("entities").count() == 7
+    now = store.current()
+    assert kg.build(spark.createDataFrame([("Robert calls Gustav.",)], "text string"), "b2") == now == store.current()
+    assert not own.asked("texts") and not own.asked("reports")
+
+
+def test_a_replayed_batch_adds_nothing(spark, tmp_path):
+    from graphloom.streaming.incremental import file_stream, grow
+
+    spark.createDataFrame([("Anna meets Bertha.",)], "text string").write.parquet(str(tmp_path / "in"))
+    kg = build.KnowledgeGraph(build.Builder(Model(), lambda d: chunking.pack_chunks(d, 80)), GraphStore(spark, str(tmp_path / "store")), reports=False)
+    for _ in range(2):
+        grow(file_stream(spark, str(tmp_path / "in"), "text string"), kg, str(tmp_path / "check")).awaitTermination()
+        shutil.rmtree(tmp_path / "check" / "commits")  # as if the run had died before it wrote this down
+    assert {r["description"] for r in kg.store.load("entities").collect()} == {"Anna is mentioned", "Bertha is mentioned"}
+    assert kg.store.snapshots().count() == 1
+
+
+def test_a_snapshot_writes_only_what_changed(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path))
+    one = spark.createDataFrame([("a", "x")], "id string, summary string")
+    store.save(community_summaries=one, entities=spark.createDataFrame([("e",)], "id string"))
+    second = store.save(community_summaries=one.withColumn("summary", F.lit("y")))
+    assert sorted(p.name for p in (tmp_path / second).iterdir()) == ["community_summaries"]
+    assert store.load("entities").count() == 1 and store.load("community_summaries").first()["summary"] == "y"
+
+
+class Stub:
+    """An endpoint that fails as told: a prompt's number of failures is behind its ``#``."""
+
+    def __init__(self):
+        self.seen, self.now, self.most, self.lock = Counter(), 0, 0, threading.Lock()
+        stub = self
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_POST(self):
+                body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+                text = body["messages"][-1]["content"] if "messages" in body else body["input"][0]
+                with stub.lock:
+                    stub.seen[text] += 1
+                    stub.now += 1
+                    stub.most = max(stub.most, stub.now)
+                    bad = stub.seen[text] <= int(text.partition("#")[2] or 0)
+                time.sleep(0.05)
+                with stub.lock:
+                    stub.now -= 1
+                out = {"choices": [{"message": {"content": text.upper()}}], "data": [{"index": 0, "embedding": [1.0, 2.0]}]}
+                self.send_response(500 if bad else 200)
+                self.end_headers()
+                self.wfile.write(json.dumps(out).encode())
+
+            def log_message(self, *_):
+                pass
+
+        self.server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        self.url = f"http://127.0.0.1:{self.server.server_port}/v1"
+
+
+def test_http_calls_are_tried_again_at_once_and_row_by_row(spark):
+    stub = Stub()
+    free = RateGate(None, None)
+    model = Retrying(HttpModel(stub.url, "m", gate=free), 3, 0.01, 0.02)
+    prompts_ = [f"p{i}" for i in range(30)] + ["once#1", "never#99"]
+    rows = spark.createDataFrame([(p,) for p in prompts_], "p string").coalesce(1)
+    got = {r["p"]: r for r in generate(rows, "p", "a", model, error="why", partitions=1).collect()}
+    assert all(got[p]["a"] == p.upper() and got[p]["why"] is None for p in prompts_ if p != "never#99")
+    assert got["never#99"]["a"] is None and "500" in got["never#99"]["why"]
+    assert (stub.seen["once#1"], stub.seen["never#99"], stub.seen["p3"]) == (2, 3, 1)
+    assert 2 <= stub.most <= 8
+    vectors = embed(spark.createDataFrame([("a",), ("b",), ("bad#99",)], "t string").coalesce(1), "t", "v", HttpEmbedder(stub.url, "m", 2, gate=free), partitions=1).collect()
+    assert {r["t"]: r["v"] for r in vectors} == {"a": [1.0, 2.0], "b": [1.0, 2.0], "bad#99": None}
+    stub.server.shutdown()
+
+
+def test_partitions_share_a_quota():
+    own = shared(Retrying(HttpModel("http://x", "m", gate=RateGate(8, 60))), 4)
+    assert (own.model.gate.per_second, own.model.gate.per_minute) == (2.0, 15.0)
+    assert shared(HashEmbedder(4), 4) == HashEmbedder(4)
+
+
+def test_tokenizers_of_libraries(spark):
+    import public_tokenizers as public
+
+    texts = ["The quick brown fox", "", None, "naïve café"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    by_file, by_ranks = FileTokenizer(public.path("byte_bpe_50k.json")), TiktokenTokenizer(ranks=public.path("byte_bpe_50k.tiktoken"), pattern=public.PATTERN)
+    for own in (by_file, by_ranks):
+        assert [r["t"] for r in truncate(df, "t", 2, own).collect()] == ["The quick", "", "", own.decode(own.encode("naïve café")[:2])]
+    assert by_file.encode(texts[0]) == by_ranks.encode(texts[0])
+
+
+def test_an_updated_prompt_is_used(spark):
+    old = prompts.update("local_search", lambda query, context, language: F.concat(F.lit("MINE: "), query))
+    try:
+        v, e = path(spark)
+        v = v.withColumns({"entity_type": F.lit("T"), "description": F.lit("d"), "source_chunk_id": F.array(F.lit("c"))})
+        wide = search.BreadthFirstSearch(search.Graph(v, e), lambda ps: ["".join(ps)] * len(ps))
+        assert wide.query("what is A?", 1).first()["response"] == "MINE: what is A?"
+    finally:
+        prompts.update("local_search", old)
+    with pytest.raises(KeyError):
+        prompts.update("none", old)
+
+
+def test_top_k_by_probe_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.standard_normal((120, 3)), 1)
+    x[50:60] = x[40]
+    vectors = spark.createDataFrame([(f"v{i:03d}", [float(a) for a in v]) for i, v in enumerate(x)] + [("none", None), ("short", [1.0])], "id string, vector array<double>")
+    probes = spark.createDataFrame([(i, [float(a) for a in x[i]]) for i in range(20)] + [(98, [0.0, 0.0, 0.0]), (99, None)], "probe_id int, probe array<double>")
+    want = {}
+    for i in range(20):
+        score = [(-round(float(u @ x[i] / np.linalg.norm(u) / np.linalg.norm(x[i])), 9), f"v{j:03d}") for j, u in enumerate(x) if np.linalg.norm(u) and np.linalg.norm(x[i])]
+        for n, (s, j) in enumerate(sorted(score)[:7]):
+            if -s >= 0.3:
+                want[i, n + 1] = -s
+    for block, rows in ((2048, 16_384), (3, 20)):
+        got = similarity.top_k_by_probe(probes, vectors, 7, 0.3, block, rows).collect()
+        assert {(r["probe_id"], r["rank"]): round(r["score"], 9) for r in got} == want
+
+
+def test_empty_vectors_fall_back_to_the_records(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path))
+    people = spark.createDataFrame([(n, n, "PERSON", f"{n} sings") for n in ("anna", "bert", "clara")], "id string, entity_name string, entity_type string, description string")
+    store.save(entities=people)
+    assert Records(store, HashEmbedder(32)).similar_entities("anna", 2).count() == 2
+    assert Records(store).similar_entities("anna", 2).count() == 0
+
+
+def test_gml_with_all_attributes(spark, tmp_path):
+    v = spark.createDataFrame([("a", 'Ann "&" Ö', "T", "one\ntwo", ["c1"], ["d"], [(0, 1)]), ("b", "Bob", "T", None, [], None, [])], "id string, entity_name string, entity_type string, description string, source_chunk_id array<string>, documents_id array<string>, clusters array<struct<level:int,cluster_id:int>>")
+    e = spark.createDataFrame([("r", "b", "a", "Bob", "Ann", "likes [x]", 2.5, ["c1", "c2"])], "id string, subject_id string, object_id string, subject_name string, object_name string, description string, relation_strength double, source_chunk_id array<string>")
+    write_gml(v, e, str(tmp_path / "g"))
+    nodes, links = read_gml(spark, str(tmp_path / "g"))
+    assert Counter(map(repr, nodes.select(*v.columns).collect())) == Counter(map(repr, v.collect()))
+    assert links.select(*e.columns).collect() == e.collect()
+    (tmp_path / "other.gml").write_text('Creator "x"\ngraph [\n  directed 0\n  node [\n    id 7\n    label "A&#246;"\n    graphics [ x 1.0 ]\n  ]\n  node [\n    id 9\n  ]\n  edge [\n    source 9\n    target 7\n    weight 3\n  ]\n]\n')
+    nodes, links = read_gml(spark, str(tmp_path / "other.gml"))
+    assert {r["id"] for r in nodes.collect()} == {"Aö", "9"}
+    assert [(r["subject_id"], r["object_id"], r["relation_strength"]) for r in links.collect()] == [("9", "Aö", 3.0)]
+
+
+def test_descriptions_by_cluster(spark):
+    rows = [("A", "T", i, f"{'red apple' if i % 2 else 'blue whale'} {i}") for i in range(12)] + [("B", "T", 0, "alone")]
+    df = spark.createDataFrame(rows, "entity_name string, entity_type string, pos int, description string").withColumns({"source_chunk_id": F.array(F.lit("c")), "documents_id": F.array(F.lit("d"))})
+    got = merging.describe_clusters(merging.group_entities(df), HashEmbedder(64), lambda ps: [f"{p.count(chr(10))}" for p in ps], 5, 0.7)
+    text = {r["entity_name"]: r["description"] for r in got.collect()}
+    assert text["B"] == "alone" and text["A"].count(". ") == 1
 
 
 def test_staged_extraction(spark):
