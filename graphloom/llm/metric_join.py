@@ -42,6 +42,8 @@ CELL, MOST_PIVOTS = 1000, 1024
 LEAST_GROUP, GROUP = 8_192, 65_536
 #: Products so near the threshold are taken again in double precision.
 NEAR = 1e-4
+#: So many at once.
+EXACT = 16_384
 
 
 def forest(mask: np.ndarray) -> Iterator[tuple[str, int, int]]:
@@ -163,17 +165,20 @@ def links(own: DataFrame, dim: int, total: int, least: float = LEAST_COSINE, gro
                 cols_ = right[j0 : j0 + TILE]
                 s = low[rows_] @ low[cols_].T
                 mask = s >= np.float32(least - NEAR)
-                same = a == b and i0 == j0
-                if same:
-                    np.fill_diagonal(mask, False)
-                if not mask.any():
+                if a == b and i0 == j0:
+                    mask &= np.tri(*mask.shape, -1, dtype=bool).T  # each pair once
+                r, c = np.nonzero(mask)
+                if not len(r):
                     continue
-                for r, c in zip(*np.nonzero(mask & (s < np.float32(least + NEAR))), strict=True):
-                    mask[r, c] = float((x[rows_[r]] * x[cols_[c]]).sum()) >= least
-                found[rows_] += mask @ n[cols_]
-                if not same:
-                    found[cols_] += mask.T @ n[rows_]
-                ends += [((rows_ if side == "r" else cols_)[k], rows_[root]) for side, k, root in forest(mask)]
+                doubt = np.flatnonzero(s[r, c] < np.float32(least + NEAR))
+                parts = np.split(doubt, range(EXACT, len(doubt), EXACT))
+                wrong = np.concatenate([d[(x[rows_[r[d]]] * x[cols_[c[d]]]).sum(axis=1) < least] for d in parts])
+                mask[r[wrong], c[wrong]] = False
+                r, c = np.delete(r, wrong), np.delete(c, wrong)
+                np.add.at(found, rows_[r], n[cols_[c]])
+                np.add.at(found, cols_[c], n[rows_[r]])
+                at, to = np.unique(r), np.unique(c)  # most rows and columns of a tile have no link
+                ends += [((rows_[at] if side == "r" else cols_[to])[k], rows_[at[root]]) for side, k, root in forest(mask[np.ix_(at, to)])]
         some = np.flatnonzero(found)
         u = np.array([e[0] for e in ends], np.int64)
         v = np.array([e[1] for e in ends], np.int64)
