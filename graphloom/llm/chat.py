@@ -7,11 +7,12 @@ there before it. The fold of a message is everything from its last reset on,
 in order of sequence; a message lives if its last reset is later than every
 edit or regeneration of an earlier turn.
 
-Scale: events are grouped by message, never by conversation. Which turns an
-edit discards is a prefix maximum over turns, taken within ranges of
-``RANGE`` turns and over the ranges, so that a conversation with a third of
-all rows is many groups. Rendering is per turn. Only a digest of a whole
-conversation reads its turns in order, as a stream that holds one turn.
+Scale: events are dealt by ranges of ``RANGE`` turns and folded by message,
+never by conversation. Which turns an edit discards is a prefix maximum over
+turns, taken within ranges and over the ranges, so that a conversation with a
+third of all rows is many groups. Rendering is per turn. Only a digest of a
+whole conversation reads its turns in order, as a stream that holds one turn.
+Texts pass two shuffles: one by range, one for the digest.
 """
 
 from __future__ import annotations
@@ -44,6 +45,12 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1\2\3", text)
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows with ``range`` and ``deal`` (a hash of conv_id and range), dealt by it: the one shuffle of texts that the log and its fold need."""
+    rows = rows.withColumn("range", F.coalesce(F.floor(F.col("turn") / RANGE), F.lit(-(2**62))))
+    return rows.withColumn("deal", F.xxhash64("conv_id", "range")).repartition("deal")
+
+
 def messages(events: DataFrame) -> DataFrame:
     """``conv_id, turn, nth, role, text`` of the messages that live at the end of a log.
 
@@ -56,10 +63,15 @@ def messages(events: DataFrame) -> DataFrame:
     kind, then text. Other columns have no effect; an empty log has no
     messages.
     """
+    return _fold(_dealt(events.select("conv_id", "turn", "nth", "seq", "kind", "role", "text")))
+
+
+def _fold(events: DataFrame) -> DataFrame:
+    """:func:`messages` of a log as :func:`_dealt` has it; what groups by ``deal`` needs no further shuffle."""
     reset = F.col("kind").isin("start", "edit", "regenerate")
     steers = F.col("kind").isin("edit", "regenerate")
     of = F.struct("seq", "kind", F.coalesce("text", F.lit("")).alias("text"))
-    own = events.groupBy("conv_id", "turn", "nth").agg(
+    own = events.groupBy("deal", "conv_id", "range", "turn", "nth").agg(
         F.coalesce(F.max(F.when(reset, F.col("seq"))), F.min("seq")).alias("born"),
         F.max(F.when(steers, F.col("seq"))).alias("steered"),
         F.max_by("role", F.when(F.col("kind") == "start", F.col("seq"))).alias("role"),
@@ -67,21 +79,26 @@ def messages(events: DataFrame) -> DataFrame:
     )
     fits = F.filter("parts", lambda p: p["seq"] >= F.col("born"))
     own = own.withColumn("text", F.array_join(F.transform(fits, lambda p: p["text"]), "")).drop("parts")
-    own = own.withColumn("range", F.coalesce(F.floor(F.col("turn") / RANGE), F.lit(-(2**62))))
-    ranges = own.where(F.col("steered").isNotNull()).groupBy("conv_id", "range").agg(F.max("steered").alias("steered"))
-    over = W.partitionBy("c").orderBy("r").rowsBetween(W.unboundedPreceding, W.currentRow)
-    upto = ranges.select(F.col("conv_id").alias("c"), F.col("range").alias("r"), "steered").withColumn("before", F.max("steered").over(over))
-    until = F.coalesce(F.lead("r").over(W.partitionBy("c").orderBy("r")), F.col("r"))
-    upto = upto.withColumn("until", until).select("c", "r", "until", "before")
-    # ranges with an edit or regeneration are rare; each row meets the last such range before its own
-    own = own.join(upto.withColumn("last", ~F.col("until").eqNullSafe(F.col("r"))), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("r") < F.col("range")) & ((F.col("until") >= F.col("range")) | ~F.col("last")), "left")
-    inside = W.partitionBy("conv_id", "range").orderBy(F.col("turn").asc_nulls_first(), "nth").rowsBetween(W.unboundedPreceding, -1)
-    discards = F.greatest("before", F.max("steered").over(inside))
-    lives = F.coalesce(F.col("born") > discards, discards.isNull())
-    own = own.withColumn("lives", lives).where("lives")
+    inside = W.partitionBy("deal", "conv_id", "range").orderBy(F.col("turn").asc_nulls_first(), "nth").rowsBetween(W.unboundedPreceding, -1)
+    own = own.withColumn("inside", F.max("steered").over(inside))
+    # ranges with any edit or regeneration before them: none in a conversation of one range
+    ranges = events.groupBy("deal", "conv_id", "range").agg(F.max(F.when(steers, F.col("seq"))).alias("steered"))
+    over = W.partitionBy("conv_id").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    upto = ranges.withColumn("before", F.max("steered").over(over)).where(F.col("before").isNotNull())
+    upto = upto.select(F.col("deal").alias("d"), F.col("conv_id").alias("c"), F.col("range").alias("r"), "before")
+    # the join's only equality is that of deal, by which the texts lie already
+    same = F.when(F.col("c").isNull(), F.col("conv_id").isNull()).otherwise(F.col("conv_id") == F.col("c"))
+    own = own.join(upto, (F.col("deal") == F.col("d")) & same & (F.col("range") >= F.col("r")) & (F.col("range") <= F.col("r")), "left")
+    discards = F.greatest("before", "inside")
+    own = own.where(F.coalesce(F.col("born") > discards, discards.isNull()))
     return own.select("conv_id", "turn", "nth", F.coalesce("role", F.lit("")).alias("role"), "text")
 
 
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """``messages(as_events(turns))``, dealt once."""
+    return _fold(_log(_dealt(turns.select("conv_id", "turn", "role", "text"))))
+
+
 def render(rows: DataFrame) -> DataFrame:
     """Messages with ``piece`` (the turn in the template) and ``loss_start, loss_end``, the code points of it that are learned from (equal if none).
 
@@ -115,13 +132,16 @@ def digests(rendered: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own: list[list] = [[], [], [], []]
+            own: list[list] = [[], [], [], [], []]
             for piece, a, b in zip(*(batch.column(c).to_pylist() for c in ("piece", "loss_start", "loss_end")), strict=True):
                 turns = parse(piece)
-                for col, v in zip(own, ("".join(f"{role}\n{text}\n" for role, text in turns), unescape(piece[a:b]), len(turns), len(piece)), strict=True):
+                said, learned = "".join(f"{role}\n{text}\n" for role, text in turns), unescape(piece[a:b])
+                # what is learned is mostly the end of what is said, and then sent as a length
+                ends = said[:-1].endswith(learned)
+                for col, v in zip(own, (said, None if ends else learned, len(learned), len(turns), len(piece)), strict=True):
                     col.append(v)
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("conv_id", "turn", "nth")], *[pa.array(c, k) for c, k in zip(own, kinds, strict=True)]], ["conv_id", "turn", "nth", "said", "learned", "n", "chars"])
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("conv_id", "turn", "nth")], *[pa.array(c, k) for c, k in zip(own, kinds, strict=True)]], ["conv_id", "turn", "nth", "said", "learned", "n_learned", "n", "chars"])
 
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
@@ -140,7 +160,9 @@ def digests(rendered: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            for conv, said, learned, n, chars in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "said", "learned", "n", "chars")), strict=True):
+            for conv, said, learned, n_learned, n, chars in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "said", "learned", "n_learned", "n", "chars")), strict=True):
+                if learned is None:
+                    learned = said[len(said) - 1 - n_learned : -1] if n_learned else ""
                 if state is None or conv != at:
                     close()
                     at, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -156,7 +178,7 @@ def digests(rendered: DataFrame) -> DataFrame:
     own = rendered.select("conv_id", "turn", "nth", "piece", "loss_start", "loss_end")
     order = own.schema
     fields = ", ".join(f"{c} {order[c].dataType.simpleString()}" for c in ("conv_id", "turn", "nth"))
-    rows = own.mapInArrow(read, f"{fields}, said string, learned string, n long, chars long").repartition("conv_id")
+    rows = own.mapInArrow(read, f"{fields}, said string, learned string, n_learned long, n long, chars long").repartition("conv_id")
     rows = rows.sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "nth")
     return rows.mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
@@ -176,8 +198,13 @@ def as_events(turns: DataFrame, chunk: int = 512) -> DataFrame:
     of their own, by role and text; null roles and texts are kept as such.
     Other columns are left out. An empty table gives an empty log.
     """
-    nth = F.row_number().over(W.partitionBy("conv_id", "turn").orderBy(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))).cast("long")
-    rows = turns.select("conv_id", "turn", "role", F.col("text").cast("string").alias("text")).withColumn("nth", nth).withColumn("text", F.coalesce("text", F.lit("")))
+    return _log(_dealt(turns.select("conv_id", "turn", "role", "text")), chunk).drop("range", "deal")
+
+
+def _log(turns: DataFrame, chunk: int = 512) -> DataFrame:
+    """:func:`as_events` of turns as :func:`_dealt` has them, which its events stay."""
+    nth = F.row_number().over(W.partitionBy("deal", "conv_id", "turn").orderBy(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))).cast("long")
+    rows = turns.withColumn("text", F.col("text").cast("string")).withColumn("nth", nth).withColumn("text", F.coalesce("text", F.lit("")))
     starts = F.sequence(F.lit(1), F.ceil(F.length("text") / chunk).cast("int") * chunk + 1, F.lit(chunk))
     deltas = F.transform(starts, lambda a: F.struct(F.lit(0).cast("long").alias("place"), F.lit("delta").alias("kind"), F.substring(F.col("text"), a, F.lit(chunk)).alias("text")))
 
@@ -194,6 +221,6 @@ def as_events(turns: DataFrame, chunk: int = 512) -> DataFrame:
     ]
     way = F.pmod(F.xxhash64("conv_id", "turn", "nth"), F.lit(len(ways)))
     log = F.when(way == 0, ways[0]).when(way == 1, ways[1]).when(way == 2, ways[2]).otherwise(ways[3])
-    rows = rows.select("conv_id", "turn", "nth", "role", F.posexplode(log).alias("step", "e"))
+    rows = rows.select("deal", "range", "conv_id", "turn", "nth", "role", F.posexplode(log).alias("step", "e"))
     seq = F.struct(F.coalesce("turn", F.lit(-(2**63))).alias("turn"), "nth", "step")
-    return rows.select("conv_id", "turn", (F.col("nth") + F.col("e.place")).alias("nth"), "role", seq.alias("seq"), "e.kind", "e.text")
+    return rows.select("deal", "range", "conv_id", "turn", (F.col("nth") + F.col("e.place")).alias("nth"), "role", seq.alias("seq"), "e.kind", "e.text")

@@ -33,7 +33,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]").alias("text")
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
-    return chat.digests(chat.render(chat.messages(chat.as_events(turns.unionByName(more)))))
+    return chat.digests(chat.render(chat.rebuilt(turns.unionByName(more))))
 
 
 def _joined(spans: Column) -> Column:
