@@ -34,6 +34,12 @@ def _entities(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("l_orderkey").alias("chunk_id"), F.col("l_linenumber").alias("pos"), F.col("l_returnflag").alias("entity_name"), F.col("l_linestatus").alias("entity_type"), entity_id(F.col("l_returnflag"), F.col("l_linestatus")).alias("id"))
 
 
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    """The entities in the order of their lines, those of equal number in the order of the files, which SQL reads them in."""
+    rows = table(spark, d, "lineitem").select("*", F.struct("l_linenumber", "_metadata.file_path", "_metadata.row_index").alias("pos"))
+    return rows.select(F.col("l_orderkey").alias("chunk_id"), "pos", F.col("l_returnflag").alias("entity_name"), entity_id(F.col("l_returnflag"), F.col("l_linestatus")).alias("id"))
+
+
 def _relations(spark: SparkSession, d: str) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(o).alias("o")) for s, o in (("A", "N"), ("N", "R"), ("R", "Z"), ("", "N"))])
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("chunk_id"), F.explode(pairs).alias("p"))
@@ -45,7 +51,7 @@ SELECT r.chunk_id, a.id AS subject_id, b.id AS object_id, 'rel-' || md5(a.id ||
 FROM rels r JOIN known a ON a.chunk_id = r.chunk_id AND a.name = r.s JOIN known b ON b.chunk_id = r.chunk_id AND b.name = r.o""")
 def endpoint_resolution(spark: SparkSession, d: str) -> DataFrame:
     """Relations of all orders with the entities that their ends mean."""
-    rows = E.resolve_endpoints(_entities(spark, d), _relations(spark, d))
+    rows = E.resolve_endpoints(_placed(spark, d), _relations(spark, d))
     return rows.select("chunk_id", "subject_id", "object_id", "id", "relation_strength")
 
 

@@ -22,10 +22,10 @@ def resolve_endpoints(entities: DataFrame, relations: DataFrame) -> DataFrame:
     """Relations with the ids of the entities that their names mean in their chunk.
 
     A name means the first entity of the chunk that has it, whatever its
-    type; a relation with an empty or unknown name is dropped. A missing
-    strength is 1.
+    type (of those at the same place, the one of the least id); a relation
+    with an empty or unknown name is dropped. A missing strength is 1.
     """
-    first = W.partitionBy("chunk_id", "entity_name").orderBy("pos")
+    first = W.partitionBy("chunk_id", "entity_name").orderBy("pos", "id")
     known = entities.withColumn("nth", F.row_number().over(first)).where("nth = 1")
     out = relations.where("subject_name <> '' and object_name <> ''")
     for side in ("subject", "object"):
