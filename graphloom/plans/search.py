@@ -132,8 +132,8 @@ class GlobalSearch:
         self.graph, self.model, self.most_tokens, self.language = graph, model, most_tokens, language
 
     def search(self, query: str) -> DataFrame:
-        rows = self.graph.summaries.withColumn("prompt", prompts.render("global_search_context", F.lit(query), F.col("summary"), self.language))
-        got = materialize(parsed(generate(rows, "prompt", "answer", self.model), "answer", INSIGHT, "insight"))
+        rows = self.graph.summaries.select("id", prompts.render("global_search_context", F.lit(query), F.col("summary"), self.language).alias("prompt"))
+        got = materialize(parsed(generate(rows, "prompt", "answer", self.model).drop("prompt"), "answer", INSIGHT, "insight"))
         valid = got.where("insight is not null and (insight.rating is null or insight.rating between 0 and 10)")
         return ranked_insights(valid.select(F.col("id").alias("pos"), "insight.*"))
 

@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from graphloom.functions.batches import in_small_batches
 from graphloom.operators.chunking import hashed_embedding
 
 
@@ -346,7 +347,7 @@ def generate(rows: DataFrame, prompt: str, answer: str, model: Model, batch: int
                 own[error] = errors
             yield own
 
-    return rows.mapInPandas(call, schema)
+    return in_small_batches(rows).mapInPandas(call, schema)
 
 
 def statistics(rows: DataFrame, prompt: str, answer: str) -> DataFrame:
@@ -378,7 +379,7 @@ def embed(rows: DataFrame, text: str, vector: str, embedder: Embedder, batch: in
             own[vector] = [None if v is None else [float(x) for x in v] for v in got]
             yield own
 
-    return rows.mapInPandas(call, schema)
+    return in_small_batches(rows).mapInPandas(call, schema)
 
 
 def truncate(rows: DataFrame, text: str, most: int, tokenizer: Tokenizer) -> DataFrame:
@@ -389,4 +390,4 @@ def truncate(rows: DataFrame, text: str, most: int, tokenizer: Tokenizer) -> Dat
             own[text] = [tokenizer.decode(tokenizer.encode(t)[:most]) if t else "" for t in own[text]]
             yield own
 
-    return rows.mapInPandas(cut, rows.schema)
+    return in_small_batches(rows).mapInPandas(cut, rows.schema)
