@@ -53,3 +53,12 @@ def test_texts_go_to_python_in_small_batches(spark):
             spark.conf.set(k, v)
     assert max(r for _, r, _ in sizes) <= 256
     assert max(c for *_, c in sizes) <= 2 * 4 * 2**20
+
+
+def test_text_files_keep_rows_that_share_an_id(spark, tmp_path):
+    con = duckdb.connect()
+    texts = [(1, "a\nb"), (1, "second"), (2, None), (3, ""), (-4, "\nx\x1d"), (5, "\r\n\r"), (6, "ü 漢 \U0001f600\n"), (7, "\x1d")]
+    spark.createDataFrame(texts, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = catalog.queries()["text_files"](spark, str(tmp_path)).select("doc_id", "hash").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(catalog.oracle_sql()["text_files"]).fetchall())
