@@ -53,8 +53,9 @@ def dangling(entities: DataFrame, relations: DataFrame) -> DataFrame:
 
 def extract(chunks: DataFrame, model: Model, validate: bool = False, language: str = "russian", entity_types: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
     """Entities and relations by one structured call per chunk, and a second one to correct it if wanted."""
-    asked = chunks.withColumn("prompt", prompts.render("artifact_extraction", F.col("content"), language, entity_types))
-    got = materialize(parsed(generate(asked, "prompt", "answer", model), "answer", EXTRACTION, "artifacts"))
+    kept = ["id", "doc_id", "content"] if validate else ["id", "doc_id"]  # the prompt holds the content, too
+    asked = chunks.select(*kept, prompts.render("artifact_extraction", F.col("content"), language, entity_types).alias("prompt"))
+    got = materialize(parsed(generate(asked, "prompt", "answer", model).drop("prompt"), "answer", EXTRACTION, "artifacts"))
     if validate:
         again = got.withColumn("prompt", prompts.render("artifact_validation", F.col("answer"), F.col("content"), language)).drop("answer")
         checked = parsed(generate(again.withColumnRenamed("artifacts", "draft"), "prompt", "answer", model), "answer", EXTRACTION, "artifacts")
