@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from graphloom.functions import text as X
+from graphloom.functions.batches import in_small_batches
 from graphloom.schemas import chunk_id
 
 
@@ -83,7 +84,7 @@ def semantic_chunks(docs: DataFrame, most: int, embed: Callable[[list[str]], np.
             yield pd.DataFrame({"doc_id": batch["doc_id"], "parts": parts})
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), X.sentences(F.col("text")).alias("pieces"))
-    return _numbered(rows.mapInPandas(split, "doc_id string, parts array<string>"), F.col("parts"))
+    return _numbered(in_small_batches(rows).mapInPandas(split, "doc_id string, parts array<string>"), F.col("parts"))
 
 
 def scored_chunks(docs: DataFrame, most: int, score: Callable[[str, str], float]) -> DataFrame:
@@ -99,7 +100,7 @@ def scored_chunks(docs: DataFrame, most: int, score: Callable[[str, str], float]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "parts": parts})
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), X.sentences(F.col("text")).alias("pieces"))
-    return _numbered(rows.mapInPandas(split, "doc_id string, parts array<string>"), F.col("parts"))
+    return _numbered(in_small_batches(rows).mapInPandas(split, "doc_id string, parts array<string>"), F.col("parts"))
 
 
 def neighbour_similarity(vectors: DataFrame) -> DataFrame:
